@@ -41,9 +41,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/noteloom-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.saved = 0
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.saved += 1
+        path = f"{self.root}/{name}-{self.saved}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, langid, packing, quality, spotsigs
+from . import chat, decontam, extract, langid, neardup, packing, quality, spotsigs
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of ``op2_pack``.
@@ -63,6 +63,11 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Rule(shingle=3, under=85))
+    return members.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
     names = F.array_join("items", ",")
@@ -70,7 +75,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_chat_format": op3_chat_format, "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_extract": op7_extract, "op9_spotsigs": op9_spotsigs}
+    return {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_chat_format": op3_chat_format, "op4_neardup": op4_neardup, "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_extract": op7_extract, "op9_spotsigs": op9_spotsigs}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, langid, neardup, packing, quality, spotsigs
+from . import chat, decontam, extract, langid, neardup, packing, quality, spotsigs, sufdedup
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of ``op2_pack``.
@@ -56,6 +56,11 @@ def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = sufdedup.dedup(table(spark, sf_dir, "documents"), length=200, keep_first=False)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spotsigs.compare_edited(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -75,7 +80,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_chat_format": op3_chat_format, "op4_neardup": op4_neardup, "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_extract": op7_extract, "op9_spotsigs": op9_spotsigs}
+    return {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_chat_format": op3_chat_format, "op4_neardup": op4_neardup, "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_extract": op7_extract, "op8_suffix_dedup": op8_suffix_dedup, "op9_spotsigs": op9_spotsigs}
 
 
 def oracle_sql() -> dict[str, str]:

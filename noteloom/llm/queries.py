@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extract, langid, neardup, packing, quality, spotsigs, sufdedup
+from . import chat, ctw, decontam, extract, langid, neardup, packing, quality, spotsigs, sufdedup
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of ``op2_pack``.
@@ -79,8 +79,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (quality.fold(of=7) == 2).alias("held_out"), "text")
+    return ctw.score(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_chat_format": op3_chat_format, "op4_neardup": op4_neardup, "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_extract": op7_extract, "op8_suffix_dedup": op8_suffix_dedup, "op9_spotsigs": op9_spotsigs}
+    return {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_chat_format": op3_chat_format, "op4_neardup": op4_neardup, "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_extract": op7_extract, "op8_suffix_dedup": op8_suffix_dedup, "op9_spotsigs": op9_spotsigs, "op10_ctw": op10_ctw}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -187,7 +187,7 @@ class Top:
 # ---------------------------------------------------------------- the operator
 
 
-def score(docs: DataFrame, depth: int = 5, batch_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each text.
 
     docs: doc_id, held_out (texts to learn nothing from), text; other columns are ignored. Words are

@@ -32,42 +32,74 @@ END = b"\n"
 # ---------------------------------------------------------------- texts to batches
 
 
+def varints(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variable-length bytes, seven bits each and lowest first, the high bit set but in the last; and the cuts ``at`` in bytes."""
+    size = 1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21) + (values >= 1 << 28)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        out[ends[on] + k] = ((values[on] >> (7 * k)) & 127) | ((size[on] > k + 1) << 7)
+    return out, ends[at]
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    size = last - first + 1
+    out = np.zeros(len(last), np.int64)
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        out[on] |= (data[first[on] + k].astype(np.int64) & 127) << (7 * k)
+    return out
+
+
 def batches_of(docs: DataFrame, bytes_each: int) -> DataFrame:
-    """docs: doc_id, held_out, text. One row per text (batch, doc_id, held_out, codes: little-endian 32-bit word
-    numbers, the end last) and one per batch (words, n: training count of each, total_bytes)."""
+    """docs: doc_id, held_out, text. One row per text (batch, doc_id, held_out, codes: word numbers
+    as ``varints``, the end last) and one per batch (words, n: training count of each, total_bytes)."""
     schema = pa.schema([("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("n_bytes", pa.int64()), ("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for whole in arrow:
             for part in row_slices(whole, "text", bytes_each):
-                hashes, owner, lo, hi, low, base, rows = [], [], [], [], [], 0, 0
+                # Distinct words piece by piece, then over all pieces: most of the memory is the texts themselves.
+                found, places, sizes, codes, owner, length, low, base, rows = [], [], [], [], [], [], [], 0, 0
                 for piece in row_slices(part, "text", 4 << 20):
                     offsets, data = utf8(piece.column(2))
                     data = LOWER[data]
                     s, e, d = words(offsets, data)
-                    hashes.append(Rolling(data).ranges(s, e))
-                    lo.append(s + base)
-                    hi.append(e + base)
-                    owner.append(d + rows)
+                    h, first, code = np.unique(Rolling(data).ranges(s, e), return_index=True, return_inverse=True)
+                    found.append(h)
+                    places.append(s[first] + base)
+                    sizes.append((e - s)[first])
+                    codes.append(code.astype(np.int32) + np.int32(sum(map(len, found[:-1]))))
+                    owner.append((d + rows).astype(np.int32))
+                    length.append(np.bincount(d, e - s + 1, minlength=piece.num_rows))
                     low.append(data)
                     base += len(data)
                     rows += piece.num_rows
-                hashes, owner, lo, hi, data = (np.concatenate(x) for x in (hashes, owner, lo, hi, low))
-                _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+                found, places, sizes, codes, owner, length, data = (np.concatenate(x) for x in (found, places, sizes, codes, owner, length, low))
+                _, first, code = np.unique(found, return_index=True, return_inverse=True)
+                codes = code.astype(np.int32)[codes]
                 held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                # The end is word 0.
+                # Frequent words get small numbers; the end is word 0.
+                often = np.argsort(-np.bincount(codes, minlength=len(first)), kind="stable")
+                number_of = np.empty(len(first), np.int32)
+                number_of[often] = np.arange(1, len(first) + 1, dtype=np.int32)
+                first, codes = first[often], number_of[codes]
                 each = np.bincount(owner, minlength=rows)
                 at = np.concatenate([[0], np.cumsum(each + 1)])
-                codes = np.zeros(int(at[-1]), "<i4")
-                codes[np.arange(len(code)) + owner] = code + 1
-                n = np.bincount(code[~held[owner]] + 1, minlength=len(first) + 1)
+                all_codes = np.zeros(int(at[-1]), np.int32)
+                all_codes[np.arange(len(codes)) + owner] = codes
+                n = np.bincount(codes[~held[owner]], minlength=len(first) + 1)
                 n[0] = (~held).sum()
-                size = np.concatenate([[1], (hi - lo)[first]])
-                blob = np.concatenate([np.frombuffer(END, np.uint8), data[ragged(lo[first], size[1:])]])
+                size = np.concatenate([[1], sizes[first]])
+                blob = np.concatenate([np.frombuffer(END, np.uint8), data[ragged(places[first], size[1:])]])
                 vocabulary = binary_array(blob, np.concatenate([[0], np.cumsum(size)]))
-                n_bytes = np.bincount(owner, hi - lo + 1, minlength=rows).astype(np.int64) + 1
-                rows_ = [pa.array(np.full(rows, number)), part.column(0), part.column(1), binary_array(codes.view(np.uint8), at * 4), pa.array(n_bytes), pa.nulls(rows, schema.field(5).type), pa.nulls(rows, schema.field(6).type)]
+                packed, at = varints(all_codes, at)
+                n_bytes = length.astype(np.int64) + 1
+                rows_ = [pa.array(np.full(rows, number)), part.column(0), part.column(1), binary_array(packed, at), pa.array(n_bytes), pa.nulls(rows, schema.field(5).type), pa.nulls(rows, schema.field(6).type)]
                 yield pa.RecordBatch.from_arrays(rows_, schema=schema)
                 one = pa.array([0, len(size)], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.ListArray.from_arrays(one, vocabulary), pa.ListArray.from_arrays(one, pa.array(n, pa.int64()))], schema=schema)
@@ -263,7 +295,8 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 32 << 20) -> DataF
     values = asked.join(logs, "key").select("batch", F.lit(1).cast("byte").alias("kind"), "key", "value")
     counts = listed.join(known, "word").select("batch", F.lit(0).cast("byte").alias("kind"), F.col("code").cast("long").alias("key"), F.col("c").cast("double").alias("value"))
     answers = scratch.save("answers", values.unionByName(counts))
-    scratch.release()
+    del listed, known, seen, near, dealt, top_rows, logs, asked, values, counts
+    scratch.drop("known", "contexts", "logs")
     base = float(total + distinct + 1)
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
@@ -284,14 +317,18 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 32 << 20) -> DataF
             g, word = contexts(*utf8(vocabulary.slice(lo, 50_000)), depth)
             log_p[lo : lo + 50_000] = np.bincount(word, v[np.searchsorted(k, g)], min(50_000, len(vocabulary) - lo))
         rows = left.filter(pa.array(~isword))
-        offsets, raw = utf8(rows.column("codes"))
-        code = raw.view("<i4")
+        base_p = np.log10((c + 1) / base)
+        sums = []
+        for lo in range(0, rows.num_rows, 1000):
+            offsets, raw = utf8(rows.column("codes").slice(lo, 1000))
+            code = unpacked(raw)
+            ends = np.cumsum(raw < 128)
+            each = np.diff(np.concatenate([[0], ends])[offsets])
+            doc = np.repeat(np.arange(len(each)), each)
+            sums.append([each, np.bincount(doc, c[code] > 0, len(each)), np.bincount(doc, base_p[code], len(each)), np.bincount(doc, log_p[code], len(each))])
+        each, known_, b, s = (np.concatenate(x) for x in zip(*sums, strict=True))
         n = rows.num_rows
-        each = np.diff(offsets) // 4
-        doc = np.repeat(np.arange(n), each)
-        s = np.bincount(doc, log_p[code], n)
-        b = np.bincount(doc, np.log10((c[code] + 1) / base), n)
-        known_ = np.bincount(doc, c[code] > 0, n).astype(np.int64)
+        each, known_ = each.astype(np.int64), known_.astype(np.int64)
         bits = -s * np.log2(10) / np.asarray(rows.column("n_bytes"))
         return pa.Table.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(each), pa.array(known_), pa.array(np.full(n, total)), pa.array(b), pa.array(s), pa.array(bits)], schema=out)
 

@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, "_text", 2 << 20):
+            for part in row_slices(batch, "_text", 2 << 20):  # the last column
                 s = model.score(features(part.column(part.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*part.schema.names[:-1], "score"])
 

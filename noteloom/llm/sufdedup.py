@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,16 +242,17 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: bool
     """
     keep = ["doc_id"] if keep is None else keep
     names = [c for c in docs.columns if c in keep]
-    src = docs.select(*names, *([] if "doc_id" in names else ["doc_id"]), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    src = src.withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = repeats(src.select("doc_id", "text"), length, gram, keep_first)
-    joined = src.withColumn("row_key", F.xxhash64("doc_id", "text")).join(spans, "row_key", "left").select(*names, F.col("text").cast("binary").alias("_text"), "spans")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    spans = repeats(base, length, gram, keep_first)
+    # Columns of the caller's stay as they are; the text itself travels once.
+    src = docs.select(*[F.col(c).alias(f"_{c}") for c in names if c != "text"], F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_key"), F.col("text").cast("string").alias("_text_"))
+    joined = src.join(spans, "row_key", "left").select(*[F.col("_text_" if c == "text" else f"_{c}").alias(c) for c in names], F.coalesce("_text_", F.lit("")).cast("binary").alias("_bytes"), "spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     pair = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, "_text", 2 << 20):
+            for part in row_slices(batch, "_bytes", 2 << 20):
                 k = part.num_columns - 2
                 offsets, data = utf8(part.column(k))
                 n = part.num_rows
@@ -279,3 +281,13 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: bool
                 )
 
     return joined.mapInArrow(run, f"{kinds + ', ' if kinds else ''}kept binary, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>")
+
+
+def whole_characters(kept):
+    """The text of remaining bytes without characters of which only some bytes are left."""
+
+    @F.pandas_udf("string")
+    def decode(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+
+    return decode(kept)

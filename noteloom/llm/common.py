@@ -6,6 +6,8 @@ Executors may be lost at any time, so intermediates that cut lineage are written
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -64,6 +66,13 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives a Python worker's freed memory back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions_for(total: int, each: int) -> int:
     """Enough partitions that each holds about ``each`` units; at least one."""
     return max(1, -(-int(total or 0) // each))

@@ -31,29 +31,44 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 
 class WordTokenizer:
-    """Token ids by way of a cache of words.
+    """Token ids by way of distinct words.
 
     The vocabulary's pre-tokenizer never joins characters over white space, so a text's ids are the
-    ids of its space-separated words in turn. Words are found by Arrow, and only words that the
-    cache lacks go to the tokenizer. The cache is emptied when it has ``cache`` words.
+    ids of its space-separated words in turn. Arrow finds a batch's distinct words, and only these go to
+    the tokenizer, many in one string: between them stands a special token, at which the tokenizer
+    cuts its input before all else.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    SEPARATOR = "<|endoftext|>"
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.limit = cache
-
-    def lookup(self, distinct: list[str]) -> list[bytes]:
-        if len(self.cache) + len(distinct) > self.limit:
-            self.cache = {}
-        new = [w for w in distinct if w not in self.cache]
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.cache[w] for w in distinct]
+        self.cut = self.model.token_to_id(self.SEPARATOR)
+        if self.cut is None:
+            raise ValueError(f"the vocabulary has no {self.SEPARATOR}")
+
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and the ids, of all words in turn."""
+        own = pc.match_substring(distinct, "<|").to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(own), "", distinct)
+        bounds = np.append(np.arange(0, len(plain), 2000), len(plain)).astype(np.int64)
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), plain), pa.scalar(self.SEPARATOR, plain.type)).to_pylist()
+        parts = []
+        for i in range(0, len(joined), 16):
+            for e in self.model.encode_batch_fast(joined[i : i + 16], add_special_tokens=False):
+                parts += [np.array(e.ids, "<u4"), np.array([self.cut], "<u4")]
+        ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        cut = np.flatnonzero(ids == self.cut)
+        counts = np.diff(np.concatenate([[-1], cut])) - 1
+        ids = ids[ids != self.cut]
+        for k in np.flatnonzero(own).tolist():  # words that might hold a special token
+            e = np.array(self.model.encode(distinct[k].as_py(), add_special_tokens=False).ids, "<u4")
+            at = int(counts[:k].sum())
+            ids = np.concatenate([ids[:at], e, ids[at:]])
+            counts[k] = len(e)
+        return counts, ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids (unsigned 32-bit) of all texts; null is empty."""
@@ -63,9 +78,7 @@ class WordTokenizer:
         parts = pc.split_pattern(texts, " ")
         flat = parts.flatten().dictionary_encode()
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        found = self.lookup(flat.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes, pool = self.words(flat.dictionary)
         first = np.cumsum(sizes) - sizes
         counts = sizes[codes]
         ids = pool[ragged(first[codes], counts)]
@@ -200,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, tokens: int = 2048, segments: int = 20
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
         for batch in batches:
-            for part in row_slices(batch, "text", 2 << 20):
+            for part in row_slices(batch, "text", 16 << 20):
                 offsets, ids = coder.encode(part.column(1))
                 for i, (doc, lf) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     packer.add(doc, ids[offsets[i] : offsets[i + 1]], end_id, lf)

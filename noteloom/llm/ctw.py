@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, Scratch, U64, binary_array, partitions_for, ragged, row_slices, utf8, words
+from .common import LOWER, Rolling, Scratch, U64, binary_array, partitions_for, ragged, row_slices, trim, utf8, words
 
 END = b"\n"
 
@@ -65,7 +65,7 @@ def batches_of(docs: DataFrame, bytes_each: int) -> DataFrame:
             for part in row_slices(whole, "text", bytes_each):
                 # Distinct words piece by piece, then over all pieces: most of the memory is the texts themselves.
                 found, places, sizes, codes, owner, length, low, base, rows = [], [], [], [], [], [], [], 0, 0
-                for piece in row_slices(part, "text", 4 << 20):
+                for piece in row_slices(part, "text", 2 << 20):
                     offsets, data = utf8(piece.column(2))
                     data = LOWER[data]
                     s, e, d = words(offsets, data)
@@ -104,6 +104,8 @@ def batches_of(docs: DataFrame, bytes_each: int) -> DataFrame:
                 one = pa.array([0, len(size)], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.ListArray.from_arrays(one, vocabulary), pa.ListArray.from_arrays(one, pa.array(n, pa.int64()))], schema=schema)
                 number += 1
+                del found, places, sizes, codes, owner, length, low, data, all_codes, blob, vocabulary, packed
+                trim()
 
     return docs.mapInArrow(run, "batch long, doc_id long, held_out boolean, codes binary, n_bytes long, words array<binary>, n array<long>")
 
@@ -219,7 +221,7 @@ class Top:
 # ---------------------------------------------------------------- the operator
 
 
-def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each text.
 
     docs: doc_id, held_out (texts to learn nothing from), text; other columns are ignored. Words are
@@ -290,6 +292,8 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 32 << 20) -> DataF
                     found.append(np.unique(contexts(*utf8(flat.slice(lo, 50_000)), depth)[0]))
                 key = np.unique(np.concatenate(found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch.column(0)[i].as_py())), pa.array(key)], names=["batch", "key"])
+                del found, key
+                trim()
 
     asked = batched.filter("words is not null").select("batch", "words").mapInArrow(wanted, "batch long, key long")
     values = asked.join(logs, "key").select("batch", F.lit(1).cast("byte").alias("kind"), "key", "value")
@@ -329,6 +333,7 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 32 << 20) -> DataF
         each, known_, b, s = (np.concatenate(x) for x in zip(*sums, strict=True))
         n = rows.num_rows
         each, known_ = each.astype(np.int64), known_.astype(np.int64)
+        trim()
         bits = -s * np.log2(10) / np.asarray(rows.column("n_bytes"))
         return pa.Table.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(each), pa.array(known_), pa.array(np.full(n, total)), pa.array(b), pa.array(s), pa.array(bits)], schema=out)
 

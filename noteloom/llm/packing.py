@@ -14,6 +14,7 @@ above bit 40, so a retried task gives the same ids.
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,36 +25,90 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, row_slices
+from .common import LOWER, ragged, row_slices, trim, utf8
 
 SCHEMA = "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("loss_tokens", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def _byte_letters() -> list[str]:
+    """The visible characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class WordTokenizer:
     """Token ids by way of distinct words.
 
     The vocabulary's pre-tokenizer never joins characters over white space, so a text's ids are the
     ids of its space-separated words in turn. Arrow finds a batch's distinct words, and only these go to
-    the tokenizer, many in one string: between them stands a special token, at which the tokenizer
-    cuts its input before all else.
+    the tokenizer. Words of ASCII and Latin-1 letters, digits and marks are lower-cased and cut as its
+    normaliser and pre-tokenizer would (letters, single digits, other marks), and go to the same model behind
+    a plain split at spaces; each piece ends with an end-of-word id, by which words are told apart.
+    All other words go through the whole tokenizer, a special token between them.
     """
 
     SEPARATOR = "<|endoftext|>"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.cut = self.model.token_to_id(self.SEPARATOR)
         if self.cut is None:
             raise ValueError(f"the vocabulary has no {self.SEPARATOR}")
-
-    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self.pieces = Tokenizer(self.model.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        letters = [x.encode() for x in _byte_letters()]
+        self.width = np.array([len(x) for x in letters])
+        self.letters = np.array([[*x, 0][:2] for x in letters], np.uint8)
+        b = np.arange(256)
+        self.plain = (b > 0x20) & (b < 0x7F) & (b != 0x3C) & (b != 0x27) | (b == 0xC3)
+        self.kind = np.where((b >= 0x30) & (b < 0x3A), 1, np.where((b >= 0x61) & (b < 0x7B) | (b >= 0x80), 0, 2)).astype(np.int8)
+
+    def simple(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words that can take the short way, their numbers of ids, their ids in turn)."""
+        n = len(offsets) - 1
+        after = np.zeros(len(data), bool)
+        after[1:] = data[:-1] == 0xC3
+        ok = np.where(after, (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7), self.plain[data])
+        word = np.repeat(np.arange(n), np.diff(offsets))
+        fast = np.bincount(word[~ok], minlength=n) == 0
+        fast &= np.diff(offsets) > 0
+        use = fast[word]
+        data, word, after = data[use], word[use], after[use]
+        data = np.where(after & (data < 0x9F), data + 32, LOWER[data]).astype(np.uint8)
+        kind = self.kind[data]
+        first = np.ones(len(data), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1) | (word[1:] != word[:-1])
+        width = self.width[data] + first
+        at = np.cumsum(width) - width
+        blob = np.full(int(width.sum()), 32, np.uint8)
+        at += first
+        blob[at] = self.letters[data, 0]
+        two = self.width[data] == 2
+        blob[at[two] + 1] = self.letters[data[two], 1]
+        heads = np.flatnonzero(first)
+        bounds = np.append((at[heads] - 1)[::1000], len(blob)).tolist() if len(heads) else [0]
+        raw = blob.tobytes()
+        texts = [raw[i + 1 : j].decode() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        got = [np.array(e.ids, "<u4") for i in range(0, len(texts), 16) for e in self.pieces.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.zeros(0, "<u4")
+        owner = word[heads]
+        ends = np.flatnonzero(self.last[ids])
+        size = np.diff(np.concatenate([[-1], ends]))
+        return fast, np.bincount(owner, size, n).astype(np.int64)[fast], ids
+
+    def whole(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, and the ids, of all words in turn."""
         own = pc.match_substring(distinct, "<|").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(own), "", distinct)
-        bounds = np.append(np.arange(0, len(plain), 2000), len(plain)).astype(np.int64)
+        bounds = np.append(np.arange(0, len(plain), 200), len(plain)).astype(np.int64)
         joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), plain), pa.scalar(self.SEPARATOR, plain.type)).to_pylist()
         parts = []
         for i in range(0, len(joined), 16):
@@ -70,6 +125,18 @@ class WordTokenizer:
             counts[k] = len(e)
         return counts, ids
 
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """First places of the words' ids in the returned ids, their numbers, and the ids."""
+        fast, few, short = self.simple(*utf8(distinct))
+        counts = np.zeros(len(distinct), np.int64)
+        counts[fast] = few
+        slow, long = self.whole(distinct.filter(pa.array(~fast)))
+        counts[~fast] = slow
+        first = np.zeros(len(distinct), np.int64)
+        first[fast] = np.cumsum(few) - few
+        first[~fast] = len(short) + np.cumsum(slow) - slow
+        return first, counts, np.concatenate([short, long])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids (unsigned 32-bit) of all texts; null is empty."""
         texts = texts.fill_null("").cast(pa.large_string())
@@ -78,8 +145,7 @@ class WordTokenizer:
         parts = pc.split_pattern(texts, " ")
         flat = parts.flatten().dictionary_encode()
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes, pool = self.words(flat.dictionary)
-        first = np.cumsum(sizes) - sizes
+        first, sizes, pool = self.words(flat.dictionary)
         counts = sizes[codes]
         ids = pool[ragged(first[codes], counts)]
         at = np.concatenate(([0], np.cumsum(counts)))
@@ -213,12 +279,14 @@ def pack(docs: DataFrame, tokenizer: str, tokens: int = 2048, segments: int = 20
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
         for batch in batches:
-            for part in row_slices(batch, "text", 16 << 20):
+            for part in row_slices(batch, "text", 12 << 20):
                 offsets, ids = coder.encode(part.column(1))
                 for i, (doc, lf) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     packer.add(doc, ids[offsets[i] : offsets[i + 1]], end_id, lf)
                     if len(packer.ready) >= 2000:
                         yield out()
+                del offsets, ids
+                trim()
         packer.finish()
         if packer.ready:
             yield out()

@@ -6,10 +6,12 @@
 2. Documents with equal sets form a class; only its smallest id goes on, so copies are never paired.
 3. Each bucket of a band elects its smallest member as hub, and every member is compared with the hubs
    of its buckets: a number of pairs linear in the documents, whatever the size of a bucket.
-4. Members that are not linked to their hub are strays. 1 - Jaccard is a metric, so a stray at
-   distance d from the hub can be linked only with members of the bucket whose distance from the hub
-   differs by at most 1 - threshold; odd sketches, by the population count of their XOR, weed these
-   out further before their sets are compared.
+4. Members that are not linked to their hub are strays. A few of them, drawn by hash, are hubs in turn.
+   What then still lies in another component is compared with those members of the hub that it can be
+   linked to: 1 - Jaccard is a metric, so their distances from the hub differ by at most 1 - threshold; and
+   their sets' differences from the hub must have an element in common among the first few (see
+   ``confirm``), which copies with edits of their own have not. Before sets are compared, odd sketches, by
+   the population count of their XOR, weed out pairs that are too far apart.
 5. All candidates are confirmed on full sets; components follow from the confirmed links.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, Rolling, Scratch, mix, row_slices, runs, seeds, signed, utf8, words
+from .common import LOWER, SPACE, U64, Rolling, Scratch, mix, ragged, row_slices, runs, seeds, signed, utf8, words
 from .components import components
 
 SKETCH_BITS = 1024
@@ -39,6 +41,7 @@ class Rule:
     over: int = 100
     rows: int = 5
     miss: float = 1e-6
+    draws: int = 2
 
     @property
     def threshold(self) -> float:
@@ -122,7 +125,16 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, both, either): sizes of the intersection and union of the full sets of each pair (a, b)."""
+    """(a, b, both, either, marks): sizes of the intersection and union of the full sets of each pair (a, b).
+
+    marks are the first elements of the symmetric difference of a's set and b's, in an order in which all
+    elements outside of b's set come first. With alpha = (1 - threshold) / (1 + threshold), two sets A and B are
+    linked only if |A ^ B| <= alpha * (|A| + |B|). Then their differences from b share at least
+    |A ^ b| - alpha * (|A| + |B|) elements, and |B| <= |A| / threshold, so they share one of the first
+    alpha * |A| * (1 + 1 / threshold) + 1 elements of each.
+    """
+    theta = rule.threshold
+    share = (1 - theta) / (1 + theta) * (1 + 1 / theta)
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -136,9 +148,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 same = (s[1:] == s[:-1]) & (d[1:] == d[:-1])
                 both = np.bincount(d[1:][same], minlength=n)
                 either = np.bincount(d, minlength=n) - both
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+                # Elements of one set only: in b's set or not, then by hash.
+                single = np.ones(len(s), bool)
+                single[1:] &= ~same
+                single[:-1] &= ~same
+                of_b = np.concatenate([np.zeros(len(sa), bool), np.ones(len(sb), bool)])[order]
+                s, d, of_b = s[single], d[single], of_b[single]
+                order = np.lexsort((s, of_b, d))
+                s, d = s[order], d[order]
+                count = np.bincount(d, minlength=n)
+                take = np.minimum(count, np.floor(np.bincount(da, minlength=n) * share + 1e-9).astype(np.int64) + 1)
+                marks = s[ragged(np.cumsum(count) - count, take)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(signed(marks)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64()), lists], names=["a", "b", "both", "either", "marks"])
+
+    return rows.mapInArrow(run, "a long, b long, both long, either long, marks array<long>")
+
 
-    return rows.mapInArrow(run, "a long, b long, both long, either long")
+def _flips():
+    """Population count of the XOR of two odd sketches, columns odd_l and odd_r."""
+    return sum((F.bit_count(F.get("odd_l", F.lit(i)).bitwiseXOR(F.get("odd_r", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
@@ -162,28 +191,49 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
     inside = scratch.save("inside", keys.join(hubs, "key").filter("doc_id <> hub"))
     first = scratch.save("first", inside.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
     needed = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.save("texts", src.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = scratch.save("texts", src.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    del needed
     scratch.release()
     near = scratch.save("near", confirm(first, texts, rule))
     linked = F.lit(rule.over) * F.col("both") >= F.lit(rule.under) * F.col("either")
-    # Strays of a bucket against its members at a like distance from the hub.
+    # Members of hubs that have strays, by their distance from the hub.
     reach = 1 - rule.threshold
-    far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"))
-    placed = inside.join(far, ["doc_id", "hub"]).withColumn("cell", F.floor(F.col("d") / reach).cast("int"))
-    odd_buckets = placed.filter("not linked").select("key").distinct()
-    placed = scratch.save("placed", placed.join(odd_buckets, "key", "left_semi").select("key", "doc_id", "d", "cell", "linked"))
+    far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"), "marks")
+    group = scratch.save("around", far.join(far.filter("not linked").select("hub").distinct(), "hub", "left_semi"))
     sketches = reps.select("doc_id", "odd")
-    strays = placed.filter("not linked").join(sketches, "doc_id").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    others = placed.join(sketches, "doc_id")
-    l, r = (t.select("key", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "d", "linked", "odd")]) for t, s in ((strays, "l"), (others, "r")))
-    flips = sum((F.bit_count(F.get("odd_l", F.lit(i)).bitwiseXOR(F.get("odd_r", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    apart = (F.col("doc_id_l") != F.col("doc_id_r")) & (F.abs(F.col("d_l") - F.col("d_r")) <= reach + 1e-9) & (F.col("linked_r") | (F.col("doc_id_l") < F.col("doc_id_r")))
-    pairs = l.join(r, ["key", "cell"]).filter(apart & (flips <= rule.most_bits)).select(F.least("doc_id_l", "doc_id_r").alias("a"), F.greatest("doc_id_l", "doc_id_r").alias("b")).distinct()
-    second = scratch.save("second", pairs.join(first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"))
-    more = scratch.save("more", confirm(second, texts, rule))
-    links = scratch.save("links", near.unionByName(more).filter(linked))
-    found = components(links.select("a", "b"), scratch)
-    found = scratch.save("components", found)
+    tried = first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both_ = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("odd").alias("odd_l")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("odd").alias("odd_r")), "b")
+        return both_.filter(_flips() <= rule.most_bits).select("a", "b")
+
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # A few strays of each hub, drawn by hash, are hubs in turn and gather most of the others.
+    drawn = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(r))) for r in range(rule.draws)]
+    elected = group.filter("not linked").groupBy("hub").agg(F.array_distinct(F.array(*drawn)).alias("e")).select("hub", F.explode("e").alias("e"))
+    elected = scratch.save("elected", elected)
+    pairs = group.select("hub", "doc_id").join(elected, "hub").filter("doc_id <> e").select(*ordered("doc_id", "e")).distinct()
+    again = scratch.save("again", alike(pairs.join(tried, ["a", "b"], "left_anti")))
+    near2 = scratch.save("near2", confirm(again, texts, rule))
+    found = scratch.save("joined", components(near.unionByName(near2).filter(linked).select("a", "b"), scratch))
+    # What is left: strays against members of other components that share a mark of the same hub.
+    component = F.coalesce("component", "doc_id").alias("component")
+    parted = group.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("hub", "doc_id", "d", "linked", component, F.explode("marks").alias("mark"))
+    several = parted.groupBy("hub", "mark").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("linked").alias("all_linked")).filter("x <> y and not all_linked").select("hub", "mark")
+    several = scratch.save("several", several)
+    parted = scratch.save("parted", parted.join(several, ["hub", "mark"]))
+    l, r = (parted.select("hub", "mark", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "d", "linked", "component")]) for s in "lr")
+    apart = (F.col("component_l") != F.col("component_r")) & (F.abs(F.col("d_l") - F.col("d_r")) <= reach + 1e-9) & (F.col("linked_r") | (F.col("doc_id_l") < F.col("doc_id_r")))
+    pairs = l.filter("not linked_l").join(r, ["hub", "mark"]).filter(apart).select(*ordered("doc_id_l", "doc_id_r")).distinct()
+    second = scratch.save("second", alike(pairs.join(tried.unionByName(again), ["a", "b"], "left_anti")))
+    more = scratch.save("more", confirm(second, texts, rule).filter(linked))
+    links = scratch.save("links", near.unionByName(near2).filter(linked).unionByName(more).drop("marks"))
+    # The last links join components, so only these are gathered again.
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    bridges = more.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = scratch.save("merged", components(bridges, scratch).select(F.col("node").alias("component"), F.col("component").alias("last")))
+    nodes = found.unionByName(merged.select(F.col("component").alias("node"), "component").join(found.select("node"), "node", "left_anti"))
+    found = scratch.save("components", nodes.join(merged, "component", "left").select("node", F.coalesce("last", "component").alias("component")))
     group = classes.join(found, F.col("class_id") == F.col("node"), "left").select("h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component"))
     group = scratch.save("groups", group)
     out = prints.select("doc_id", "n_shingles", "h1", "h2").join(group, ["h1", "h2"], "left").drop("h1", "h2")

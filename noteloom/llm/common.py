@@ -105,6 +105,7 @@ def row_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iter
         hi = min(hi, batch.num_rows)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trim()
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:

@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,12 +230,13 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: boo
     return spans
 
 
-def dedup(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: bool = True, keep: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: bool = True, keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """Removes repeated byte strings. Columns: doc_id and those named in ``keep``, kept (binary, the bytes left),
     n_bytes, n_removed, spans (maximal removed byte ranges, array of struct(lo, hi)).
 
     docs: doc_id, text; other columns are ignored. With ``keep_first`` the first copy by (doc_id, place) stays,
-    without it all go. Null and empty texts, and those under ``length`` bytes, stay as they are. Rows that
+    without it all go. With ``whole_characters`` a character goes whole if any of its bytes does, so that kept is a
+    text again. Null and empty texts, and those under ``length`` bytes, stay as they are. Rows that
     share doc_id and text count as one for ``keep_first`` and as copies of each other without it. Null doc_id
     comes last. Empty table: no rows. Memory: a document, or 4 MiB of distinct slices.
     """
@@ -263,6 +263,9 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: bool
                 np.add.at(cover, offsets[own] + flat.field(0).to_numpy(zero_copy_only=False), 1)
                 np.add.at(cover, offsets[own] + flat.field(1).to_numpy(zero_copy_only=False), -1)
                 gone = np.cumsum(cover[:-1]) > 0
+                if whole_characters and len(data):
+                    character = np.cumsum((data & 0xC0) != 0x80)
+                    gone = (np.bincount(character, gone) > 0)[character]
                 doc = np.repeat(np.arange(n), np.diff(offsets))
                 edge = np.zeros(len(data) + 1, bool)
                 edge[offsets] = True
@@ -282,12 +285,3 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: bool
 
     return joined.mapInArrow(run, f"{kinds + ', ' if kinds else ''}kept binary, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>")
 
-
-def whole_characters(kept):
-    """The text of remaining bytes without characters of which only some bytes are left."""
-
-    @F.pandas_udf("string")
-    def decode(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    return decode(kept)

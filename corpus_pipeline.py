@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings of 200 bytes that also start earlier; the first copy stays. A character cut in two goes
     whole. Documents of which nothing but white space is left go; those that lost nothing are unchanged."""
-    left = sufdedup.dedup(docs, length=200, keep_first=True, keep=COLUMNS)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(sufdedup.whole_characters(F.col("kept")))
+    left = sufdedup.dedup(docs, length=200, keep_first=True, keep=COLUMNS, whole_characters=True)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
     left = left.withColumn("text", text).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 

@@ -47,7 +47,7 @@ class Windows:
         phrases: dict[bytes, set[int]] = {}
         bounds = runs(item)
         self.terms: dict[int, np.ndarray] = {}
-        for lo, hi in zip(bounds, np.append(bounds[1:], len(item)), strict=True):
+        for lo, hi in zip(bounds, np.append(bounds, len(item))[1:], strict=True):
             self.terms[int(item[lo])] = np.unique(term[lo:hi])
             for at in range(lo, max(hi - window, lo) + 1):
                 phrases.setdefault(term[at : min(at + window, hi)].tobytes(), set()).add(int(item[lo]))

@@ -88,5 +88,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_chat_format": op3_chat_format, "op4_neardup": op4_neardup, "op5_decontaminate": op5_decontaminate, "op6_language": op6_language, "op7_extract": op7_extract, "op8_suffix_dedup": op8_suffix_dedup, "op9_spotsigs": op9_spotsigs, "op10_ctw": op10_ctw}
 
 
+CHAT_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}')
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + 11) as bigint) as formatted_chars
+from c group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": CHAT_SQL}

@@ -9,9 +9,10 @@
 4. Members that are not linked to their hub are strays. A few of them, drawn by hash, are hubs in turn.
    What then still lies in another component is compared with those members of the hub that it can be
    linked to: 1 - Jaccard is a metric, so their distances from the hub differ by at most 1 - threshold; and
-   their sets' differences from the hub must have an element in common among the first few (see
-   ``confirm``), which copies with edits of their own have not. Before sets are compared, odd sketches, by
-   the population count of their XOR, weed out pairs that are too far apart.
+   their sets' differences from the hub must share elements, how many follows from their sizes, so that they
+   have one in common among the first few (see ``confirm``), which copies with edits of their own have not.
+   Before sets are compared, odd sketches, by the population count of their XOR, weed out pairs that are too
+   far apart.
 5. All candidates are confirmed on full sets; components follow from the confirmed links.
 """
 
@@ -125,13 +126,16 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, both, either, marks): sizes of the intersection and union of the full sets of each pair (a, b).
+    """(a, b, both, either, size, marks): sizes of the intersection and union of the full sets of each pair (a, b),
+    and of a's set.
 
     marks are the first elements of the symmetric difference of a's set and b's, in an order in which all
     elements outside of b's set come first. With alpha = (1 - threshold) / (1 + threshold), two sets A and B are
-    linked only if |A ^ B| <= alpha * (|A| + |B|). Then their differences from b share at least
-    |A ^ b| - alpha * (|A| + |B|) elements, and |B| <= |A| / threshold, so they share one of the first
-    alpha * |A| * (1 + 1 / threshold) + 1 elements of each.
+    linked only if |A ^ B| <= alpha * (|A| + |B|). With g(A) = |A ^ b| - alpha * |A|, their differences from b
+    then share at least t = (g(A) + g(B)) / 2 elements, so the first one that they share is among the first
+    |A ^ b| - t + 1 of A's and as many of B's. As g(A) >= g(B) - 2 * alpha * |A| and |A| <= |B| / threshold, no
+    set needs more than its first alpha * |A| * (1 + 1 / threshold) + 1 elements; and the one of the two whose g
+    is smaller needs no more than its first alpha * |A| + 1.
     """
     theta = rule.threshold
     share = (1 - theta) / (1 + theta) * (1 + 1 / theta)
@@ -160,9 +164,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 take = np.minimum(count, np.floor(np.bincount(da, minlength=n) * share + 1e-9).astype(np.int64) + 1)
                 marks = s[ragged(np.cumsum(count) - count, take)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(signed(marks)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64()), lists], names=["a", "b", "both", "either", "marks"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64()), pa.array(np.bincount(da, minlength=n), pa.int64()), lists], names=["a", "b", "both", "either", "size", "marks"])
 
-    return rows.mapInArrow(run, "a long, b long, both long, either long, marks array<long>")
+    return rows.mapInArrow(run, "a long, b long, both long, either long, size long, marks array<long>")
 
 
 def _flips():
@@ -196,10 +200,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
     scratch.release()
     near = scratch.save("near", confirm(first, texts, rule))
     linked = F.lit(rule.over) * F.col("both") >= F.lit(rule.under) * F.col("either")
-    # Members of hubs that have strays, by their distance from the hub.
+    # Members of hubs that have strays: n elements differ from the hub's, and g as in ``confirm``, times ``unit``.
+    unit, slack = rule.over + rule.under, rule.over - rule.under
     reach = 1 - rule.threshold
-    far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"), "marks")
-    group = scratch.save("around", far.join(far.filter("not linked").select("hub").distinct(), "hub", "left_semi"))
+    n = F.col("either") - F.col("both")
+    far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"), n.alias("n"), (F.lit(unit) * n - F.lit(slack) * F.col("size")).alias("g"), "marks")
+    group = scratch.save("around", far.join(far.filter("not linked").groupBy("hub").agg(F.min("g").alias("g_stray")), "hub"))
     sketches = reps.select("doc_id", "odd")
     tried = first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
 
@@ -218,16 +224,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
     found = scratch.save("joined", components(near.unionByName(near2).filter(linked).select("a", "b"), scratch))
     # What is left: strays against members of other components that share a mark of the same hub.
     component = F.coalesce("component", "doc_id").alias("component")
-    parted = group.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("hub", "doc_id", "d", "linked", component, F.explode("marks").alias("mark"))
-    several = parted.groupBy("hub", "mark").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("linked").alias("all_linked")).filter("x <> y and not all_linked").select("hub", "mark")
+    # Of two, the one with the smaller g has the shared mark among its first n - t + 1 (column low).
+    least = F.ceil((F.col("g") + F.greatest("g", "g_stray")) / (2 * unit))
+    parted = group.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("hub", "doc_id", "d", "n", "g", "linked", component, least.alias("t"), F.posexplode("marks").alias("at", "mark"))
+    parted = parted.withColumn("low", F.col("at") <= F.col("n") - F.col("t")).drop("t")
+    several = parted.groupBy("hub", "mark").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("linked").alias("all_linked"), F.max("low").alias("low")).filter("x <> y and low and not all_linked").select("hub", "mark")
     several = scratch.save("several", several)
     parted = scratch.save("parted", parted.join(several, ["hub", "mark"]))
-    l, r = (parted.select("hub", "mark", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "d", "linked", "component")]) for s in "lr")
-    apart = (F.col("component_l") != F.col("component_r")) & (F.abs(F.col("d_l") - F.col("d_r")) <= reach + 1e-9) & (F.col("linked_r") | (F.col("doc_id_l") < F.col("doc_id_r")))
-    pairs = l.filter("not linked_l").join(r, ["hub", "mark"]).filter(apart).select(*ordered("doc_id_l", "doc_id_r")).distinct()
+    l, r = (parted.select("hub", "mark", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "d", "n", "g", "at", "linked", "component", "low")]) for s in "lr")
+    apart = (F.col("component_l") != F.col("component_r")) & (F.abs(F.col("d_l") - F.col("d_r")) <= reach + 1e-9) & ~(F.col("linked_l") & F.col("linked_r"))
+    turn = F.struct("g_l", "doc_id_l") < F.struct("g_r", "doc_id_r")
+    enough = F.lit(2 * unit) * F.least(F.col("n_l") - F.col("at_l"), F.col("n_r") - F.col("at_r")) >= F.col("g_l") + F.col("g_r")
+    pairs = l.filter("low_l").join(r, ["hub", "mark"]).filter(apart & turn & enough).select(*ordered("doc_id_l", "doc_id_r")).distinct()
     second = scratch.save("second", alike(pairs.join(tried.unionByName(again), ["a", "b"], "left_anti")))
     more = scratch.save("more", confirm(second, texts, rule).filter(linked))
-    links = scratch.save("links", near.unionByName(near2).filter(linked).unionByName(more).drop("marks"))
+    links = scratch.save("links", near.unionByName(near2).filter(linked).unionByName(more).drop("size", "marks"))
     # The last links join components, so only these are gathered again.
     name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     bridges = more.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))

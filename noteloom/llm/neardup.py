@@ -10,7 +10,8 @@
    What then still lies in another component is compared with those members of the hub that it can be
    linked to: 1 - Jaccard is a metric, so their distances from the hub differ by at most 1 - threshold; and
    their sets' differences from the hub must share elements, how many follows from their sizes, so that they
-   have one in common among the first few (see ``confirm``), which copies with edits of their own have not.
+   have one in common among the first few in order of rarity (see ``confirm``), which copies with edits of
+   their own have not.
    Before sets are compared, odd sketches, by the population count of their XOR, weed out pairs that are too
    far apart.
 5. All candidates are confirmed on full sets; components follow from the confirmed links.
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, U64, Rolling, Scratch, mix, ragged, row_slices, runs, seeds, signed, utf8, words
@@ -135,7 +137,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     then share at least t = (g(A) + g(B)) / 2 elements, so the first one that they share is among the first
     |A ^ b| - t + 1 of A's and as many of B's. As g(A) >= g(B) - 2 * alpha * |A| and |A| <= |B| / threshold, no
     set needs more than its first alpha * |A| * (1 + 1 / threshold) + 1 elements; and the one of the two whose g
-    is smaller needs no more than its first alpha * |A| + 1.
+    is smaller needs no more than its first alpha * |A| + 1. All elements outside of b's set are given in any
+    case, so that they can be put in order of rarity.
     """
     theta = rule.threshold
     share = (1 - theta) / (1 + theta) * (1 + 1 / theta)
@@ -161,7 +164,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 order = np.lexsort((s, of_b, d))
                 s, d = s[order], d[order]
                 count = np.bincount(d, minlength=n)
-                take = np.minimum(count, np.floor(np.bincount(da, minlength=n) * share + 1e-9).astype(np.int64) + 1)
+                outside = np.bincount(da, minlength=n) - both
+                take = np.maximum(outside, np.minimum(count, np.floor(np.bincount(da, minlength=n) * share + 1e-9).astype(np.int64) + 1))
                 marks = s[ragged(np.cumsum(count) - count, take)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(signed(marks)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64()), pa.array(np.bincount(da, minlength=n), pa.int64()), lists], names=["a", "b", "both", "either", "size", "marks"])
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
     unit, slack = rule.over + rule.under, rule.over - rule.under
     reach = 1 - rule.threshold
     n = F.col("either") - F.col("both")
-    far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"), n.alias("n"), (F.lit(unit) * n - F.lit(slack) * F.col("size")).alias("g"), "marks")
+    far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"), n.alias("n"), (F.lit(unit) * n - F.lit(slack) * F.col("size")).alias("g"), (F.col("size") - F.col("both")).alias("own"), "marks")
     group = scratch.save("around", far.join(far.filter("not linked").groupBy("hub").agg(F.min("g").alias("g_stray")), "hub"))
     sketches = reps.select("doc_id", "odd")
     tried = first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
@@ -224,13 +228,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
     found = scratch.save("joined", components(near.unionByName(near2).filter(linked).select("a", "b"), scratch))
     # What is left: strays against members of other components that share a mark of the same hub.
     component = F.coalesce("component", "doc_id").alias("component")
+    marked = group.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("hub", "doc_id", "d", "n", "g", "g_stray", "own", "linked", component, F.posexplode("marks").alias("at", "mark"))
+    several = marked.groupBy("hub", "mark").agg(F.count("*").alias("times"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("linked").alias("all_linked")).filter("x <> y and not all_linked").select("hub", "mark", "times")
+    several = scratch.save("several", several)
+    # Marks outside of the hub's set in order of rarity, after those that link nothing; the hub's own keep their places.
+    common = marked.join(several, ["hub", "mark"]).withColumn("of_hub", F.col("at") >= F.col("own"))
+    here = W.partitionBy("hub", "doc_id")
+    place = F.col("own") - F.count_if(~F.col("of_hub")).over(here) + F.row_number().over(here.orderBy("of_hub", "times", "mark")) - 1
+    common = common.withColumn("at", F.when(F.col("of_hub"), F.col("at")).otherwise(place))
     # Of two, the one with the smaller g has the shared mark among its first n - t + 1 (column low).
     least = F.ceil((F.col("g") + F.greatest("g", "g_stray")) / (2 * unit))
-    parted = group.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("hub", "doc_id", "d", "n", "g", "linked", component, least.alias("t"), F.posexplode("marks").alias("at", "mark"))
-    parted = parted.withColumn("low", F.col("at") <= F.col("n") - F.col("t")).drop("t")
-    several = parted.groupBy("hub", "mark").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("linked").alias("all_linked"), F.max("low").alias("low")).filter("x <> y and low and not all_linked").select("hub", "mark")
-    several = scratch.save("several", several)
-    parted = scratch.save("parted", parted.join(several, ["hub", "mark"]))
+    parted = scratch.save("parted", common.withColumn("low", F.col("at") <= F.col("n") - least).drop("g_stray", "own", "of_hub", "times"))
     l, r = (parted.select("hub", "mark", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "d", "n", "g", "at", "linked", "component", "low")]) for s in "lr")
     apart = (F.col("component_l") != F.col("component_r")) & (F.abs(F.col("d_l") - F.col("d_r")) <= reach + 1e-9) & ~(F.col("linked_l") & F.col("linked_r"))
     turn = F.struct("g_l", "doc_id_l") < F.struct("g_r", "doc_id_r")

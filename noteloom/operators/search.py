@@ -51,22 +51,26 @@ def cosine(a: str, b: str) -> Column:
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
 
 
-def vector_search(questions: DataFrame, vectors: DataFrame, k: int, min_similarity: float, max_questions: int = 4096) -> DataFrame:
-    """questions (q_id, vec), vectors (id, vec): cosine similarity, above the threshold, best ``k`` per question.
+def vector_matches(questions: DataFrame, vectors: DataFrame, max_questions: int = 4096) -> DataFrame:
+    """questions (q_id, vec), vectors (id, vec): cosine similarity of all, q_id, id, score.
 
-    The question set is a stated, bounded query set; it is read in blocks of ``max_questions`` and each block is sent to all tasks.
+    The question set is a stated query set; it is read in blocks of about ``max_questions``, and each block is sent to all tasks.
     """
     qs = questions.select("q_id", F.col("vec").alias("q_vec"))
     blocks = -(-qs.count() // max_questions) or 1
     out = None
     for b in range(blocks):
         part = qs if blocks == 1 else qs.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
-        hits = vectors.join(F.broadcast(part)).select("q_id", "id", cosine("q_vec", "vec").alias("score")).filter(F.col("score") >= min_similarity)
-        best = top(hits, k)
-        out = best if out is None else out.unionByName(best)
+        hits = vectors.join(F.broadcast(part)).select("q_id", "id", cosine("q_vec", "vec").alias("score"))
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def vector_search(questions: DataFrame, vectors: DataFrame, k: int, min_similarity: float, max_questions: int = 4096) -> DataFrame:
+    """The best ``k`` matches of each question that reach the threshold."""
+    return top(vector_matches(questions, vectors, max_questions).filter(F.col("score") >= min_similarity), k)
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Each list by its own maximum per question, then the weighted sum; a missing side counts as zero."""
     scaled = lambda df, name: df.select("q_id", "id", (F.col("score") / F.max("score").over(W.partitionBy("q_id"))).alias(name))

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions import codec
 from ..functions import text as T
-from ..operators import chunk, context, index, search
+from ..operators import catalog, chunk, context, index, search
 from ..sources.files import documents_as_sources, indexable, table
 from ..streaming import events as feed
 
@@ -455,3 +456,30 @@ def pdf_lines(spark, d):
 def lecture_budget(spark, d):
     kept = context.even_sample(_ranked(spark, d), CFG.lecture_chunks)
     return kept.select("q_id", "doc_id", F.sha2(T.truncate(F.col("content"), CFG.lecture_chars // CFG.lecture_chunks), 256).alias("cut_sha256"))
+
+
+# ---------------------------------------------------------------- codec, maths, catalogue
+
+
+@query("select vec_id, embedding from embeddings")
+def f32_codec(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", codec.encode_f32("embedding").alias("encoded"))
+    return e.select("vec_id", codec.decode_f32("encoded").alias("embedding"))
+
+
+_MATHS = [(1, r"a \(x\) b", "a $x$ b"), (2, r"\[y\]", "$$y$$"), (3, r"`\(x\)` \(z\)", r"`\(x\)` $z$"), (4, r"\\(x\\)", r"\\(x\\)"), (5, "``` \n\\(x\\)\n```\n\\(y\\)", "``` \n\\(x\\)\n```\n$y$"), (6, r"`\(open", r"`\(open")]
+
+
+@query("select * from (values " + ", ".join("({}, '{}')".format(i, w) for i, _, w in _MATHS) + ") t(id, text)")
+def math_delimiters(spark, d):
+    return spark.createDataFrame([m[:2] for m in _MATHS], "id int, text string").select("id", codec.normalize_math("text").alias("text"))
+
+
+_MODELS = [("m10", ["completion"]), ("M2", ["completion", "tools"]), ("e1", ["embedding"]), ("old", None), ("m10", ["completion"])]
+
+
+@query("select * from (values ('generation', 'M2', 0), ('generation', 'm10', 1), ('generation', 'old', 2), ('embedding', 'e1', 0), ('embedding', 'old', 1)) t(purpose, name, place)")
+def model_catalog(spark, d):
+    models = spark.createDataFrame(_MODELS, "name string, capabilities array<string>")
+    both = [catalog.models_for(models, p).select(F.lit(p).alias("purpose"), "name", "place") for p in ("generation", "embedding")]
+    return both[0].unionByName(both[1])

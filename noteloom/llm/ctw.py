@@ -1,17 +1,19 @@
-"""Context-tree weighting over bytes, as a model of words.
+"""Context-tree weighting over bytes.
 
 A text is a sequence of words and one end. A word is its bytes (A-Z lower-cased) and a space, the end
-is a line feed; a byte's context is the bytes before it in its word, back to the space that began it,
-at most ``depth``. Each byte is decomposed into eight binary decisions. Every context of every depth
-keeps, for each of the 255 decision nodes, the counts of zeros and ones in the training texts; its
-Krichevsky-Trofimov estimate is mixed with what its longer contexts say, by the posterior weights of
-context-tree weighting. The sum of the logarithms is the code length.
-
-Nothing of the model is limited in size. Texts are written once as batches: word numbers per text, and
-each batch's distinct words. Word and context counts are grouped aggregations over these; contexts
-are dealt to tasks by their two nearest bytes, so each task weighs whole subtrees, and only the two
-top levels (at most 257 * 255 nodes) are gathered. Counts and probabilities return to the batches by
-joins on (batch, word) and (batch, context), never on occurrences, and are summed per text there.
+is a line feed; a byte's context is the ``depth`` bytes before it in its text, or (``across`` not set)
+in its word, back to the space that began it. The text's beginning counts as a space. Each byte is
+decomposed into eight binary decisions. Every context of every depth keeps, for each of the 255 decision
+nodes, the counts of zeros and ones in the training texts; its Krichevsky-Trofimov estimate is mixed with
+what its longer contexts say, by the posterior weights of context-tree weighting. The sum of the
+logarithms is the code length.
+
+Nothing of the model is limited in size but the depth. Texts are written once as batches: word numbers per
+text, each batch's distinct words, and the batch's counts of contexts. Bytes are visited once for each
+distinct pair of a word and the bytes before it. A batch's contexts travel as one row for each two nearest
+bytes, sorted and packed; they are dealt to tasks by these two bytes, so each task weighs whole subtrees,
+and only the two top levels (at most 257 * 255 nodes) are gathered. Probabilities return to the batches as
+such rows, word counts by a join on (batch, word), and both are summed per text there.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, Scratch, U64, binary_array, partitions_for, ragged, row_slices, trim, utf8, words
+from .common import LOWER, Rolling, Scratch, U64, binary_array, partitions_for, ragged, row_slices, runs, trim, utf8, words
 
 END = b"\n"
 
@@ -34,7 +36,11 @@ END = b"\n"
 
 def varints(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Variable-length bytes, seven bits each and lowest first, the high bit set but in the last; and the cuts ``at`` in bytes."""
-    size = 1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21) + (values >= 1 << 28)
+    size = np.ones(len(values), np.int64)
+    bits, most = 7, int(values.max(initial=0))
+    while most >> bits:
+        size += values >= 1 << bits
+        bits += 7
     ends = np.concatenate([[0], np.cumsum(size)])
     out = np.empty(int(ends[-1]), np.uint8)
     for k in range(int(size.max(initial=0))):
@@ -54,10 +60,15 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def batches_of(docs: DataFrame, bytes_each: int) -> DataFrame:
+def batches_of(docs: DataFrame, bytes_each: int, depth: int, across: bool) -> DataFrame:
     """docs: doc_id, held_out, text. One row per text (batch, doc_id, held_out, codes: word numbers
-    as ``varints``, the end last) and one per batch (words, n: training count of each, total_bytes)."""
-    schema = pa.schema([("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("n_bytes", pa.int64()), ("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+    as ``varints``, the end last), one per batch (words, n: training count of each), and one for each two
+    nearest bytes of the batch's contexts (near, n_keys, keys, key_n: training count of each, see ``packed_keys``)."""
+    schema = pa.schema([("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("n_bytes", pa.int64()), ("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("near", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("key_n", pa.binary())])
+
+    def rows_of(number: int, count: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        columns["batch"] = pa.array(np.full(count, number))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in schema], schema=schema)
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -99,38 +110,115 @@ def batches_of(docs: DataFrame, bytes_each: int) -> DataFrame:
                 vocabulary = binary_array(blob, np.concatenate([[0], np.cumsum(size)]))
                 packed, at = varints(all_codes, at)
                 n_bytes = length.astype(np.int64) + 1
-                rows_ = [pa.array(np.full(rows, number)), part.column(0), part.column(1), binary_array(packed, at), pa.array(n_bytes), pa.nulls(rows, schema.field(5).type), pa.nulls(rows, schema.field(6).type)]
-                yield pa.RecordBatch.from_arrays(rows_, schema=schema)
+                yield rows_of(number, rows, {"doc_id": part.column(0), "held_out": part.column(1), "codes": binary_array(packed, at), "n_bytes": pa.array(n_bytes)})
                 one = pa.array([0, len(size)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.ListArray.from_arrays(one, vocabulary), pa.ListArray.from_arrays(one, pa.array(n, pa.int64()))], schema=schema)
+                yield rows_of(number, 1, {"words": pa.ListArray.from_arrays(one, vocabulary), "n": pa.ListArray.from_arrays(one, pa.array(n, pa.int64()))})
+                del found, places, sizes, codes, owner, length, low, data, packed
+                tail, word, unit = units(all_codes, each + 1, *utf8(vocabulary), depth, across)
+                weight = np.bincount(unit, np.repeat(~held, each + 1), len(word)).astype(np.int64)
+                del all_codes, unit
+                near, ends, keys, key_n = packed_keys(*counted(tail, word, weight, *utf8(vocabulary), depth), depth)
+                yield rows_of(number, len(near), {"near": pa.array(near), "n_keys": pa.array(np.diff(ends)), "keys": keys, "key_n": key_n})
                 number += 1
-                del found, places, sizes, codes, owner, length, low, data, all_codes, blob, vocabulary, packed
+                del blob, vocabulary, tail, word, weight, keys, key_n
                 trim()
 
-    return docs.mapInArrow(run, "batch long, doc_id long, held_out boolean, codes binary, n_bytes long, words array<binary>, n array<long>")
+    return docs.mapInArrow(run, "batch long, doc_id long, held_out boolean, codes binary, n_bytes long, words array<binary>, n array<long>, near long, n_keys long, keys binary, key_n binary")
 
 
 # ---------------------------------------------------------------- words to contexts
 
 
-def contexts(offsets: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, word) for each byte of each word and its final space; the end has one byte.
+PIECE = 100_000  # distinct pairs of a word and what is before it, at a time
+
+
+def is_end(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    return (np.diff(offsets) == 1) & (data[np.minimum(offsets[:-1], max(len(data) - 1, 0))] == END[0]) if len(data) else np.zeros(len(offsets) - 1, bool)
+
+
+def units(code: np.ndarray, each: np.ndarray, offsets: np.ndarray, data: np.ndarray, depth: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a word and the ``depth`` bytes before it: these bytes (nearest highest), the word, and each token's pair.
 
-    A key is the context, nearest byte highest, then the byte itself: (depth + 1) * 8 bits. Contexts
-    that reach over the word's beginning have a space there and zeros before it.
+    code: word numbers of all texts, each[i] of them in text i. Before a text there is a space and then zeros;
+    if ``across`` is not set, so there is before each word.
+    """
+    begin = np.int64(32) << (8 * (depth - 1))
+    if across:
+        size = np.diff(offsets) + 1
+        own = np.full(len(size), begin)  # the last bytes of each word and its space
+        for k in range(2, depth + 1):
+            at = np.flatnonzero(size >= k)
+            own[at] |= data[offsets[1:][at] - (k - 1)].astype(np.int64) << (8 * (depth - k))
+        first = np.repeat(np.cumsum(each) - each, each)
+        tail, filled, back = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64), 1
+        todo = np.arange(len(code))
+        while len(todo):
+            inside = todo - back >= first[todo]
+            out = todo[~inside]
+            tail[out] |= begin >> (8 * filled[out])
+            todo = todo[inside]
+            before = code[todo - back]
+            tail[todo] |= own[before] >> (8 * filled[todo])
+            filled[todo] += size[before]
+            todo = todo[filled[todo] < depth]
+            back += 1
+        tails, at = np.unique(tail, return_inverse=True)
+    else:
+        tails, at = np.array([begin]), np.zeros(len(code), np.int64)
+    many = max(len(offsets) - 1, 1)
+    pair, unit = np.unique(at * many + code, return_inverse=True)
+    return tails[pair // many], pair % many, unit
+
+
+def contexts(tail: np.ndarray, word: np.ndarray, offsets: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, unit) for each byte of each unit's word and its final space; the end has one byte.
+
+    A key is the context, nearest byte highest, then the byte itself: (depth + 1) * 8 bits.
     """
     size = np.diff(offsets)
-    is_end = (size == 1) & (data[np.minimum(offsets[:-1], max(len(data) - 1, 0))] == END[0]) if len(data) else np.zeros(len(size), bool)
-    count = size + ~is_end
-    word = np.repeat(np.arange(len(size)), count)
-    inside = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+    count = (size + ~is_end(offsets, data))[word]
+    unit = np.repeat(np.arange(len(word)), count)
+    inside = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
     padded = np.append(data, np.uint8(32))
-    at = np.where(inside < size[word], offsets[:-1][word] + inside, len(data))
-    key = padded[at].astype(np.int64)
+    start = offsets[:-1][word][unit]
+    key = padded[np.where(inside < size[word][unit], start + inside, len(data))].astype(np.int64)
+    key |= (tail[unit] >> (8 * np.minimum(inside, depth))) << 8
     for k in range(1, depth + 1):
-        back = np.where(inside >= k, padded[np.maximum(offsets[:-1][word] + inside - k, 0)].astype(np.int64), np.where(inside + 1 == k, 32, 0))
-        key |= back << (8 * (depth - k + 1))
-    return key, word
+        on = np.flatnonzero(inside >= k)
+        key[on] |= padded[start[on] + inside[on] - k].astype(np.int64) << (8 * (depth - k + 1))
+    return key, unit
+
+
+def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(key)
+    key = key[order]
+    start = runs(key)
+    return key[start], np.add.reduceat(n[order], start) if len(start) else n
+
+
+def counted(tail: np.ndarray, word: np.ndarray, n: np.ndarray, offsets: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all units in order, and their counts."""
+    parts = []
+    for lo in range(0, len(word), PIECE):
+        key, unit = contexts(tail[lo : lo + PIECE], word[lo : lo + PIECE], offsets, data, depth)
+        parts.append(merged(key, n[lo : lo + PIECE][unit]))
+    return merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def packed_keys(key: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """For each two nearest bytes: these, the cuts between them, their keys as differences and the keys' counts (``varints``)."""
+    shift = 8 * (depth - 1)
+    near = key >> shift
+    start = runs(near)
+    ends = np.append(start, len(key))
+    gap = np.diff(key, prepend=0)
+    gap[start] = key[start] - (near[start] << shift)
+    return near[start], ends, binary_array(*varints(gap, ends)), binary_array(*varints(n, ends))
+
+
+def unpacked_keys(near: int, keys: bytes, depth: int) -> np.ndarray:
+    return np.cumsum(unpacked(np.frombuffer(keys, np.uint8))) + (near << (8 * (depth - 1)))
 
 
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -221,49 +309,53 @@ class Top:
 # ---------------------------------------------------------------- the operator
 
 
-def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20, across: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each text.
 
     docs: doc_id, held_out (texts to learn nothing from), text; other columns are ignored. Words are
     separated by bytes 20 and 09 to 0D; the end counts as a token. base_score: log10 of the add-one unigram
     probability; score: log10 probability by context-tree weighting. Null text: empty, the end alone. Null held_out
     counts as held out. Null doc_id and repeated rows: one row out for each row in. Empty table: no rows; with
-    nothing to learn from, every decision has probability one half.
+    nothing to learn from, every decision has probability one half. across: a byte's context is its text's bytes
+    before it, not its word's only.
     """
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    batched = scratch.save("batched", batches_of(src, batch_bytes))
+    batched = scratch.save("batched", batches_of(src, batch_bytes, depth, across))
     listed = batched.filter("words is not null").select("batch", F.posexplode(F.arrays_zip("words", "n")).alias("code", "w")).select("batch", "code", F.col("w.words").alias("word"), F.col("w.n").alias("n"))
     known = scratch.save("known", listed.groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     scratch.release()
 
-    def count(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            for part in row_slices(batch, "word", 1 << 19):
-                key, word = contexts(*utf8(part.column(0)), depth)
-                c = part.column(1).to_numpy(zero_copy_only=False)
-                k, at = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(at, c[word], len(k)).astype(np.int64))], names=["key", "n"])
-
-    seen = scratch.save("contexts", known.select("word", "c").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    scratch.release()
-    near = F.shiftright("key", 8 * (depth - 1))  # the two nearest bytes
-    tasks = partitions_for(seen.count(), 250_000)
-    dealt = seen.repartition(tasks, near)
-
-    def gathered(arrow: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        t = [b for b in arrow if b.num_rows]
-        if not t:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in t]) for i in (0, 1))
+    seen = batched.filter("near is not null").select("near", "batch", "keys", "key_n")
+    tasks = partitions_for(batched.agg(F.sum("n_keys")).first()[0], 1_000_000)
+    dealt = seen.repartition(tasks, "near").sortWithinPartitions("near")
+
+    def subtree_rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]], np.ndarray, np.ndarray]]:
+        """Each two nearest bytes: these, the packed keys of each batch, all distinct keys and their counts."""
+        near, packs, keys, ns, held = -1, [], [], [], 0
+        for t in arrow:
+            for at, batch, pack, n in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True):
+                if at != near:
+                    if packs:
+                        yield near, packs, *merged(np.concatenate(keys), np.concatenate(ns))
+                    near, packs, keys, ns, held = at, [], [], [], 0
+                packs.append((batch, pack))
+                keys.append(unpacked_keys(near, pack, depth))
+                ns.append(unpacked(np.frombuffer(n, np.uint8)))
+                held += len(keys[-1])
+                if held > max(1 << 20, 2 * len(keys[0])):
+                    k, m = merged(np.concatenate(keys), np.concatenate(ns))
+                    keys, ns, held = [k], [m], len(k)
+        if packs:
+            yield near, packs, *merged(np.concatenate(keys), np.concatenate(ns))
+        trim()
 
     def upper(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = gathered(arrow)
-        if len(key):
+        for _, _, key, n in subtree_rows(arrow):
             _, _, level = subtrees(key, n, depth, 2)
             node = ((level.node >> 16) << 8) | (level.node & 255)
             u, at = np.unique(node, return_inverse=True)
@@ -274,33 +366,21 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataF
     top = Top(*[np.asarray(top_table.column(c)) for c in ("node", "n0", "n1", "below")])
 
     def weigh(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = gathered(arrow)
-        if len(key):
+        for near, packs, key, n in subtree_rows(arrow):
             p, node, _ = subtrees(key, n, depth, 2)
             bit = ((key & 255)[:, None] >> (7 - np.arange(8))) & 1
-            p = top.finish(p, node, bit)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.log10(p).sum(1))], names=["key", "value"])
-
-    logs = scratch.save("logs", dealt.mapInArrow(weigh, "key long, value double"))
-
-    def wanted(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            for i in range(batch.num_rows):
-                flat = batch.column(1).slice(i, 1).flatten()
-                found: list[np.ndarray] = []
-                for lo in range(0, len(flat), 50_000):
-                    found.append(np.unique(contexts(*utf8(flat.slice(lo, 50_000)), depth)[0]))
-                key = np.unique(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch.column(0)[i].as_py())), pa.array(key)], names=["batch", "key"])
-                del found, key
-                trim()
-
-    asked = batched.filter("words is not null").select("batch", "words").mapInArrow(wanted, "batch long, key long")
-    values = asked.join(logs, "key").select("batch", F.lit(1).cast("byte").alias("kind"), "key", "value")
-    counts = listed.join(known, "word").select("batch", F.lit(0).cast("byte").alias("kind"), F.col("code").cast("long").alias("key"), F.col("c").cast("double").alias("value"))
-    answers = scratch.save("answers", values.unionByName(counts))
-    del listed, known, seen, near, dealt, top_rows, logs, asked, values, counts
-    scratch.drop("known", "contexts", "logs")
+            value = np.log10(top.finish(p, node, bit)).sum(1)
+            del p, node, bit
+            for lo in range(0, len(packs), 32):
+                some = packs[lo : lo + 32]
+                logs = [value[np.searchsorted(key, unpacked_keys(near, pack, depth))].tobytes() for _, pack in some]
+                yield pa.RecordBatch.from_arrays([pa.array([batch for batch, _ in some]), pa.array(np.full(len(some), near)), pa.array([pack for _, pack in some], pa.binary()), pa.array(logs, pa.binary())], names=["batch", "near", "keys", "logs"])
+
+    values = dealt.mapInArrow(weigh, "batch long, near long, keys binary, logs binary")
+    counts = listed.join(known, "word").select("batch", "code", "c")
+    answers = scratch.save("answers", values.unionByName(counts, allowMissingColumns=True))
+    del listed, known, seen, dealt, top_rows, values, counts
+    scratch.drop("known")
     base = float(total + distinct + 1)
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
@@ -310,31 +390,35 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataF
             return out.empty_table()
         vocabulary = left.column("words").filter(pa.array(isword)).combine_chunks()
         vocabulary = (vocabulary.chunk(0) if isinstance(vocabulary, pa.ChunkedArray) else vocabulary).flatten()
-        kind, key, value = (np.asarray(right.column(c)) for c in ("kind", "key", "value"))
         c = np.zeros(len(vocabulary))
-        c[key[kind == 0]] = value[kind == 0]
-        k, v = key[kind == 1], value[kind == 1]
-        order = np.argsort(k)
-        k, v = k[order], v[order]
-        log_p = np.zeros(len(vocabulary))
-        for lo in range(0, len(vocabulary), 50_000):
-            g, word = contexts(*utf8(vocabulary.slice(lo, 50_000)), depth)
-            log_p[lo : lo + 50_000] = np.bincount(word, v[np.searchsorted(k, g)], min(50_000, len(vocabulary) - lo))
+        counted_ = right.filter(right.column("code").is_valid())
+        c[np.asarray(counted_.column("code"))] = np.asarray(counted_.column("c"))
+        packed = right.filter(right.column("near").is_valid()).sort_by("near")
+        k, v = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for near, pack, logs in zip(*(packed.column(x).to_pylist() for x in ("near", "keys", "logs")), strict=True):
+            k.append(unpacked_keys(near, pack, depth))
+            v.append(np.frombuffer(logs, np.float64))
+        k, v = np.concatenate(k), np.concatenate(v)
+        del packed, counted_
         rows = left.filter(pa.array(~isword))
         base_p = np.log10((c + 1) / base)
-        sums = []
-        for lo in range(0, rows.num_rows, 1000):
-            offsets, raw = utf8(rows.column("codes").slice(lo, 1000))
-            code = unpacked(raw)
-            ends = np.cumsum(raw < 128)
-            each = np.diff(np.concatenate([[0], ends])[offsets])
-            doc = np.repeat(np.arange(len(each)), each)
-            sums.append([each, np.bincount(doc, c[code] > 0, len(each)), np.bincount(doc, base_p[code], len(each)), np.bincount(doc, log_p[code], len(each))])
-        each, known_, b, s = (np.concatenate(x) for x in zip(*sums, strict=True))
+        offsets, raw = utf8(rows.column("codes"))
+        code = unpacked(raw)
+        ends = np.concatenate([[0], np.cumsum(raw < 128)])
+        each = np.diff(ends[offsets])
+        del raw, ends
+        spelled = utf8(vocabulary)
+        tail, word, unit = units(code, each, *spelled, depth, across)
+        log_p = np.zeros(len(word))
+        for lo in range(0, len(word), PIECE):
+            g, u = contexts(tail[lo : lo + PIECE], word[lo : lo + PIECE], *spelled, depth)
+            log_p[lo : lo + PIECE] = np.bincount(u, v[np.searchsorted(k, g)], min(PIECE, len(word) - lo))
+        doc = np.repeat(np.arange(len(each)), each)
+        known_, b, s = (np.bincount(doc, x, len(each)) for x in ((c > 0)[code], base_p[code], log_p[unit]))
         n = rows.num_rows
         each, known_ = each.astype(np.int64), known_.astype(np.int64)
         trim()
         bits = -s * np.log2(10) / np.asarray(rows.column("n_bytes"))
         return pa.Table.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(each), pa.array(known_), pa.array(np.full(n, total)), pa.array(b), pa.array(s), pa.array(bits)], schema=out)
 
-    return batched.drop("n").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return batched.filter("near is null").drop("n", "near", "n_keys", "keys", "key_n").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

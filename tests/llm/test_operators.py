@@ -226,6 +226,60 @@ def test_ctw_is_a_distribution(spark, docs, empty):
     assert ctw.score(docs.select("doc_id", (F.col("doc_id") % 3 == 0).alias("held_out"), "text")).count() == len(ROWS)
 
 
+def test_ctw_context_runs_across_words(spark):
+    texts = [(1, False, "ab ba  ab"), (2, False, "b ab a b a"), (3, True, "ab zz b a"), (4, True, "a b zz ab"), (5, True, None), (6, False, "abcdefgh abcdefgh")]
+    rows = spark.createDataFrame(texts, "doc_id long, held_out boolean, text string")
+    symbols = {}
+    for k, _, text in texts:
+        s = b"\0" * 5 + b" " + b"".join(w.encode() + b" " for w in (text or "").split()) + b"\n"
+        symbols[k] = lambda depth, s=s: [(s[i - depth : i], s[i]) for i in range(6, len(s))]
+    for depth in (2, 4, 6):
+        got = {r.doc_id: r.score for r in ctw.score(rows, depth=depth, across=True).collect()}
+        for k in symbols:
+            assert abs(got[k] - brute_symbols([x for j in (1, 2, 6) for x in symbols[j](depth)], [x for j in (3, 4, 5) for x in symbols[j](depth)], symbols[k](depth), depth)) < 1e-6
+    assert abs(got[3] - got[4]) > 1e-3  # the same words in another order
+    # small batches and many tasks give the same
+    small = {r.doc_id: r.score for r in ctw.score(rows.repartition(3, "doc_id"), batch_bytes=8, across=True).collect()}
+    assert all(abs(small[k] - got[k]) < 1e-9 for k in got)
+
+
+def brute_symbols(train, other, test, depth):
+    """log10 probability of the (context, byte) pairs ``test``, by recursion over all contexts."""
+    nodes = lambda c, x: [((c[depth - d :], (1 << j) | (x >> (8 - j))), (x >> (7 - j)) & 1, d) for j in range(8) for d in range(depth + 1)]
+    counts, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for seen, pairs in ((1, train), (0, other)):
+        for c, x in pairs:
+            for node, bit, d in nodes(c, x):
+                counts[node][bit] += seen
+                if d < depth:
+                    kids[node].add((c[depth - d - 1 :], node[1]))
+    memo = {}
+
+    def weights(node):
+        if node not in memo:
+            a, b = counts[node]
+            own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+            if len(node[0]) == depth:
+                memo[node] = own, 1.0
+            else:
+                below = sum(weights(k)[0] for k in kids[node])
+                log_pw = max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
+                memo[node] = log_pw, math.exp(own - math.log(2) - log_pw)
+        return memo[node]
+
+    total = 0.0
+    for c, x in test:
+        for j in range(8):
+            p = 0.0
+            for d in range(depth, -1, -1):
+                node = (c[depth - d :], (1 << j) | (x >> (8 - j)))
+                a, b = counts[node]
+                beta = weights(node)[1]
+                p = beta * (((b if (x >> (7 - j)) & 1 else a) + 0.5) / (a + b + 1)) + (1 - beta) * p
+            total += math.log10(p)
+    return total
+
+
 def brute_ctw(train, test, depth):
     def symbols(word):
         s = b"\n" if word == "\n" else word.encode() + b" "

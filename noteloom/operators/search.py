@@ -20,9 +20,11 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+def bm25(questions: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig = EngineConfig(), places: int | None = None) -> DataFrame:
     """questions (q_id, text), docs (id, content) to the best ``k`` per question: q_id, id, score, rank.
 
+    With ``places``, scores are rounded before they are ranked, so ties are those of the rounded scores.
+
     Only postings of the questions' terms are kept, by a semi join before anything is counted.
     """
     n = docs.select("id", F.size(tokens(F.col("content"))).alias("dl"))
@@ -34,7 +36,11 @@ def bm25(questions: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig = Engi
     tf = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("dl") / F.col("avgdl")))
     weights = df.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")  # corpus has one row
     hits = terms.join(weights, "term").join(post, "term").groupBy("q_id", "id").agg(F.sum(F.col("idf") * tf).alias("score"))
-    return top(hits, k)
+    return top(rounded(hits, places), k)
+
+
+def rounded(hits: DataFrame, places: int | None) -> DataFrame:
+    return hits if places is None else hits.withColumn("score", F.round("score", places))
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -66,9 +72,9 @@ def vector_matches(questions: DataFrame, vectors: DataFrame, max_questions: int
     return out
 
 
-def vector_search(questions: DataFrame, vectors: DataFrame, k: int, min_similarity: float, max_questions: int = 4096) -> DataFrame:
-    """The best ``k`` matches of each question that reach the threshold."""
-    return top(vector_matches(questions, vectors, max_questions).filter(F.col("score") >= min_similarity), k)
+def vector_search(questions: DataFrame, vectors: DataFrame, k: int, min_similarity: float, max_questions: int = 4096, places: int | None = None) -> DataFrame:
+    """The best ``k`` matches of each question that reach the threshold; with ``places``, by rounded scores."""
+    return top(rounded(vector_matches(questions, vectors, max_questions), places).filter(F.col("score") >= min_similarity), k)
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:

@@ -131,7 +131,7 @@ def _rounded(hits: DataFrame, k: int) -> DataFrame:
 
 @query(f"with {_BM25}, r as (select q_id, id, round(score, 6) as score from h) select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from r qualify rank <= 8")
 def bm25_search(spark, d):
-    return _rounded(search.bm25(_questions(spark, d), _docs(spark, d), 16), CFG.top_k)
+    return search.bm25(_questions(spark, d), _docs(spark, d), CFG.top_k, places=6).select("q_id", "id", "score", "rank")
 
 
 @query(f"with {_BM25}, r as (select q_id, id, round(score, 6) as score from h join documents on doc_id = id where source = 'src1') select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from r qualify rank <= 6")
@@ -152,7 +152,7 @@ def _vectors(spark, d):
 
 @query(f"with {_VEC} select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from v qualify rank <= 8")
 def vector_topk(spark, d):
-    return _rounded(search.vector_search(*_vectors(spark, d), 16, -2.0), 8)
+    return search.vector_search(*_vectors(spark, d), 8, -2.0, places=6).select("q_id", "id", "score", "rank")
 
 
 @query(f"with {_VEC} select q_id, id, score from v where score >= 0.35")
@@ -174,9 +174,9 @@ def vector_normalize(spark, d):
     "select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from f qualify rank <= 8"
 )
 def hybrid_search(spark, d):
-    lexical = _rounded(search.bm25(_questions(spark, d), _docs(spark, d), 80), 50)
+    lexical = search.bm25(_questions(spark, d), _docs(spark, d), 50, places=6)
     q, v = _vectors(spark, d)
-    vector = _rounded(search.vector_search(q, v, 80, CFG.min_similarity), 50).filter(F.col("score") >= CFG.min_similarity)
+    vector = search.vector_search(q, v, 50, CFG.min_similarity, places=6)
     return _rounded(search.fuse(lexical, vector, 1 << 30).select("q_id", "id", "score"), 8)
 
 

@@ -34,7 +34,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of each bucket. docs: text, lang; null languages and texts are ignored."""
+    """Languages and their log probabilities of each bucket. docs: text, lang; null languages and texts are ignored. More than LANGS_BOUND languages are an error."""
     src = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +54,11 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "gram", "n"])
 
+    n_langs = src.agg(F.count_distinct("lang")).first()[0]
+    if n_langs > LANGS_BOUND:
+        raise ValueError(f"{n_langs} languages, but their tables are sent to every task and hold at most {LANGS_BOUND}")
     counts = src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counts.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("c")).orderBy("lang").limit(LANGS_BOUND).toArrow().to_pylist()  # at most BUCKETS entries a language
+    got = counts.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("c")).orderBy("lang").toArrow().to_pylist()  # at most LANGS_BOUND languages of BUCKETS entries
     table = np.full((len(got), BUCKETS), 0.5)
     for i, r in enumerate(got):
         for x in r["c"]:

@@ -360,6 +360,16 @@ def test_extract(spark):
     assert extract.extract(rows.limit(0)).count() == 0
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([("some text", "a"), ("more text", "b"), ("other text", "c")], "text string, lang string")
+    monkeypatch.setattr(langid, "LANGS_BOUND", 3)
+    assert langid.learn(docs)[0] == ["a", "b", "c"]
+    monkeypatch.setattr(langid, "LANGS_BOUND", 2)
+    with pytest.raises(ValueError, match="3 languages"):
+        langid.learn(docs)
+
+
+
 def test_language(spark):
     en, fr = "the and of that with this have from they been", "les des une pour dans avec sur pas plus est"
     docs = spark.createDataFrame([("en", " ".join(random.Random(k).choices(en.split(), k=50))) for k in range(20)] + [("fr", " ".join(random.Random(k).choices(fr.split(), k=50))) for k in range(20)] + [(None, "x"), ("de", None)], "lang string, text string")

@@ -1,19 +1,21 @@
 """Context-tree weighting over bytes.
 
 A text is a sequence of words and one end. A word is its bytes (A-Z lower-cased) and a space, the end
-is a line feed; a byte's context is the ``depth`` bytes before it in its text, or (``across`` not set)
-in its word, back to the space that began it. The text's beginning counts as a space. Each byte is
-decomposed into eight binary decisions. Every context of every depth keeps, for each of the 255 decision
-nodes, the counts of zeros and ones in the training texts; its Krichevsky-Trofimov estimate is mixed with
-what its longer contexts say, by the posterior weights of context-tree weighting. The sum of the
-logarithms is the code length.
-
-Nothing of the model is limited in size but the depth. Texts are written once as batches: word numbers per
-text, each batch's distinct words, and the batch's counts of contexts. Bytes are visited once for each
-distinct pair of a word and the bytes before it. A batch's contexts travel as one row for each two nearest
-bytes, sorted and packed; they are dealt to tasks by these two bytes, so each task weighs whole subtrees,
-and only the two top levels (at most 257 * 255 nodes) are gathered. Probabilities return to the batches as
-such rows, word counts by a join on (batch, word), and both are summed per text there.
+is a line feed; a byte's context is the ``depth`` bytes before it in its text, across words. The text's
+beginning counts as a space. Each byte is decomposed into eight binary decisions. Every context of every
+depth keeps, for each of the 255 decision nodes, the counts of zeros and ones in the training texts; its
+Krichevsky-Trofimov estimate is mixed with what its longer contexts say, by the posterior weights of
+context-tree weighting. The sum of the logarithms is the code length.
+
+Nothing of the model is limited in size but the depth.
+
+1. Texts are written once as batches: word numbers per text, and groups of the batch's distinct (context,
+   byte) pairs by their two nearest bytes and of its distinct words by hash, sorted and packed, with counts.
+2. A task for each group adds up its batches, one after the other, and writes the sums; for contexts it
+   weighs whole subtrees up to depth 2. Only sums over the nodes of depth 1 (at most 256 * 255) are gathered.
+3. Sums and packs meet again by group: a batch's pack is answered with its probabilities or word counts in
+   the same order, as soon as it is read.
+4. Answers meet their batch's texts, whose contexts are computed anew, and are summed per text.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Rolling, Scratch, U64, binary_array, partitions_for, ragged, row_slices, runs, trim, utf8, words
 
-END = b"\n"
+END, SPACE = 10, 32
+#: Words are dealt to 2 ** 10 groups by the highest bits of their hash; group -1 - g holds them.
+WORD_BITS = 10
 
 
-# ---------------------------------------------------------------- texts to batches
+# ---------------------------------------------------------------- packing
 
 
 def varints(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +64,114 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def batches_of(docs: DataFrame, bytes_each: int, depth: int, across: bool) -> DataFrame:
-    """docs: doc_id, held_out, text. One row per text (batch, doc_id, held_out, codes: word numbers
-    as ``varints``, the end last), one per batch (words, n: training count of each), and one for each two
-    nearest bytes of the batch's contexts (near, n_keys, keys, key_n: training count of each, see ``packed_keys``)."""
-    schema = pa.schema([("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("n_bytes", pa.int64()), ("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("near", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("key_n", pa.binary())])
+def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(key)
+    key = key[order]
+    start = runs(key)
+    return key[start], np.add.reduceat(n[order], start) if len(start) else n
+
+
+def packed_keys(key: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """For each two nearest bytes: these, the cuts between them, their keys as differences and the keys' counts (``varints``)."""
+    shift = 8 * (depth - 1)
+    near = key >> shift
+    start = runs(near)
+    ends = np.append(start, len(key))
+    gap = np.diff(key, prepend=0)
+    gap[start] = key[start] - (near[start] << shift)
+    return near[start], ends, binary_array(*varints(gap, ends)), binary_array(*varints(n, ends))
+
+
+def unpacked_keys(near: int, keys: bytes, depth: int) -> np.ndarray:
+    return np.cumsum(unpacked(np.frombuffer(keys, np.uint8))) + (near << (8 * (depth - 1)))
+
+
+def spelled(blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words that are each followed by a space."""
+    ends = np.flatnonzero(blob == SPACE)
+    return np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends, ends
 
-    def rows_of(number: int, count: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-        columns["batch"] = pa.array(np.full(count, number))
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in schema], schema=schema)
+
+def word_keys(blob: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each word of ``spelled``, as a row of two numbers."""
+    lo, hi = spelled(blob)
+    return np.stack([Rolling(blob).ranges(lo, hi), Rolling(255 - blob).ranges(lo, hi)], 1)
+
+
+def found_at(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where each of ``key``, all of which are there, stands in the ordered ``keys``."""
+    if keys.ndim == 1:
+        return np.searchsorted(keys, key)
+    at = np.searchsorted(np.ascontiguousarray(keys[:, 0]), key[:, 0])
+    while (off := keys[at, 1] != key[:, 1]).any():
+        at[off] += 1
+    return at
+
+
+# ---------------------------------------------------------------- texts to batches
+
+
+def stream(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, each with 8 bytes before it (its beginning), its words each with a space, and the end;
+    and where each text begins. doc: the words' texts, in order."""
+    each = np.bincount(doc, size + 1, docs).astype(np.int64) + 9
+    at = np.concatenate([[0], np.cumsum(each)])
+    out = np.full(int(at[-1]), SPACE, np.uint8)
+    out[at[1:] - 1] = END
+    out[ragged(at[:-1], np.full(docs, 7))] = 0
+    out[at[:-1] + 7] = SPACE
+    before = np.cumsum(size + 1) - (size + 1)
+    first = np.searchsorted(doc, np.arange(docs))
+    place = before + (at[:-1] + 8 - np.append(before, before[-1] + size[-1] + 1 if len(size) else 0)[first])[doc]
+    out[ragged(place, size)] = data[ragged(start, size)]
+    return out, at
+
+
+def contexts(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key and the text of each byte of ``stream``. A key is the context, nearest byte highest, then the byte
+    itself: (depth + 1) * 8 bits."""
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    eight = np.ndarray(len(text) - 7, "<u8", text, 0, (1,))  # the 8 bytes from each place on, the last one highest
+    place = ragged(at[:-1] + 8, np.diff(at) - 8)
+    key = eight[place - 8]
+    key >>= U64(64 - 8 * depth)
+    key <<= U64(8)
+    key |= text[place]
+    return key.view(np.int64), np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at) - 8)
+
+
+def cuts(size: np.ndarray, each: int) -> list[int]:
+    """Cuts a run of rows into pieces of about ``each`` bytes; a larger row stands alone."""
+    at, out = np.concatenate([[0], np.cumsum(size)]), [0]
+    while out[-1] < len(size):
+        out.append(max(out[-1] + 1, int(np.searchsorted(at, at[out[-1]] + each, "right")) - 1))
+    return out
+
+
+PIECE = 4 << 20  # bytes whose contexts are held at once
+SCHEMA = pa.schema([("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("near", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("key_n", pa.binary())])
+
+
+def rows_of(batch: int, count: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns["batch"] = pa.array(np.full(count, batch))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in SCHEMA], schema=SCHEMA)
+
+
+def batches_of(docs: DataFrame, bytes_each: int, depth: int) -> DataFrame:
+    """docs: doc_id, held_out, text. One row per text (batch, doc_id, held_out, codes: word numbers as
+    ``varints``), one per group of the batch's words (near < 0, keys: words, each with a space; codes: their numbers as
+    differences), one per two nearest bytes of its contexts (near, keys: ``packed_keys``); for both n_keys, and key_n: training counts."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for whole in arrow:
             for part in row_slices(whole, "text", bytes_each):
-                # Distinct words piece by piece, then over all pieces: most of the memory is the texts themselves.
-                found, places, sizes, codes, owner, length, low, base, rows = [], [], [], [], [], [], [], 0, 0
-                for piece in row_slices(part, "text", 2 << 20):
+                held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                # Distinct words and contexts piece by piece, then over all pieces: most of the memory is the texts themselves.
+                found, places, sizes, codes, owner, low, pairs, base, rows = [], [], [], [], [], [], [], 0, 0
+                for piece in row_slices(part, "text", PIECE):
                     offsets, data = utf8(piece.column(2))
                     data = LOWER[data]
                     s, e, d = words(offsets, data)
@@ -86,144 +181,78 @@ def batches_of(docs: DataFrame, bytes_each: int, depth: int, across: bool) -> Da
                     sizes.append((e - s)[first])
                     codes.append(code.astype(np.int32) + np.int32(sum(map(len, found[:-1]))))
                     owner.append((d + rows).astype(np.int32))
-                    length.append(np.bincount(d, e - s + 1, minlength=piece.num_rows))
+                    key, own = contexts(*stream(data, s, e - s, d, piece.num_rows), depth)
+                    key <<= 1
+                    key |= held[rows : rows + piece.num_rows][own]
+                    key.sort()
+                    distinct = key >> 1
+                    start = runs(distinct)
+                    pairs.append((distinct[start], np.add.reduceat(1 - (key & 1), start) if len(start) else key))
+                    del key, own, distinct
                     low.append(data)
                     base += len(data)
                     rows += piece.num_rows
-                found, places, sizes, codes, owner, length, data = (np.concatenate(x) for x in (found, places, sizes, codes, owner, length, low))
-                _, first, code = np.unique(found, return_index=True, return_inverse=True)
+                near, ends, keys, key_n = packed_keys(*merged(*(np.concatenate(x) for x in zip(*pairs, strict=True))), depth)
+                yield rows_of(number, len(near), {"near": pa.array(near), "n_keys": pa.array(np.diff(ends)), "keys": keys, "key_n": key_n})
+                del pairs, keys, key_n
+                found, places, sizes, codes, owner, data = (np.concatenate(x) for x in (found, places, sizes, codes, owner, low))
+                del low
+                h, first, code = np.unique(found, return_index=True, return_inverse=True)
                 codes = code.astype(np.int32)[codes]
-                held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 # Frequent words get small numbers; the end is word 0.
                 often = np.argsort(-np.bincount(codes, minlength=len(first)), kind="stable")
                 number_of = np.empty(len(first), np.int32)
                 number_of[often] = np.arange(1, len(first) + 1, dtype=np.int32)
-                first, codes = first[often], number_of[codes]
-                each = np.bincount(owner, minlength=rows)
-                at = np.concatenate([[0], np.cumsum(each + 1)])
-                all_codes = np.zeros(int(at[-1]), np.int32)
-                all_codes[np.arange(len(codes)) + owner] = codes
+                codes = number_of[codes]
+                packed, at = varints(codes, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]))
+                yield rows_of(number, rows, {"doc_id": part.column(0), "held_out": part.column(1), "codes": binary_array(packed, at)})
                 n = np.bincount(codes[~held[owner]], minlength=len(first) + 1)
                 n[0] = (~held).sum()
-                size = np.concatenate([[1], sizes[first]])
-                blob = np.concatenate([np.frombuffer(END, np.uint8), data[ragged(places[first], size[1:])]])
-                vocabulary = binary_array(blob, np.concatenate([[0], np.cumsum(size)]))
-                packed, at = varints(all_codes, at)
-                n_bytes = length.astype(np.int64) + 1
-                yield rows_of(number, rows, {"doc_id": part.column(0), "held_out": part.column(1), "codes": binary_array(packed, at), "n_bytes": pa.array(n_bytes)})
-                one = pa.array([0, len(size)], pa.int32())
-                yield rows_of(number, 1, {"words": pa.ListArray.from_arrays(one, vocabulary), "n": pa.ListArray.from_arrays(one, pa.array(n, pa.int64()))})
-                del found, places, sizes, codes, owner, length, low, data, packed
-                tail, word, unit = units(all_codes, each + 1, *utf8(vocabulary), depth, across)
-                weight = np.bincount(unit, np.repeat(~held, each + 1), len(word)).astype(np.int64)
-                del all_codes, unit
-                near, ends, keys, key_n = packed_keys(*counted(tail, word, weight, *utf8(vocabulary), depth), depth)
-                yield rows_of(number, len(near), {"near": pa.array(near), "n_keys": pa.array(np.diff(ends)), "keys": keys, "key_n": key_n})
+                # The end is spelled as a line feed, which no word holds.
+                group = np.concatenate([[0], (h[often] >> U64(64 - WORD_BITS)).astype(np.int64)])
+                order = np.argsort(group, kind="stable")
+                group = group[order]
+                size = np.concatenate([[1], sizes[first][often]])[order] + 1
+                from_ = np.concatenate([[len(data)], places[first][often]])[order]
+                blob = np.concatenate([data, np.array([END], np.uint8)])[np.minimum(ragged(from_, size), len(data))]
+                stop = np.cumsum(size)
+                blob[stop - 1] = SPACE
+                start = runs(group)
+                cut = np.append(start, len(group))
+                gap = np.diff(order, prepend=0)
+                gap[start] = order[start]
+                yield rows_of(number, len(start), {"near": pa.array(-1 - group[start]), "n_keys": pa.array(np.diff(cut)), "keys": binary_array(blob, np.append(0, stop)[cut]), "key_n": binary_array(*varints(n[order], cut)), "codes": binary_array(*varints(gap, cut))})
                 number += 1
-                del blob, vocabulary, tail, word, weight, keys, key_n
+                del blob, packed, data, found, codes, owner
                 trim()
 
-    return docs.mapInArrow(run, "batch long, doc_id long, held_out boolean, codes binary, n_bytes long, words array<binary>, n array<long>, near long, n_keys long, keys binary, key_n binary")
-
-
-# ---------------------------------------------------------------- words to contexts
-
-
-PIECE = 100_000  # distinct pairs of a word and what is before it, at a time
+    return docs.mapInArrow(run, "batch long, doc_id long, held_out boolean, codes binary, near long, n_keys long, keys binary, key_n binary")
 
 
-def is_end(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    return (np.diff(offsets) == 1) & (data[np.minimum(offsets[:-1], max(len(data) - 1, 0))] == END[0]) if len(data) else np.zeros(len(offsets) - 1, bool)
+# ---------------------------------------------------------------- weights
 
+_SMALL = 1 << 16
+_tables: list[np.ndarray] = []
 
-def units(code: np.ndarray, each: np.ndarray, offsets: np.ndarray, data: np.ndarray, depth: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a word and the ``depth`` bytes before it: these bytes (nearest highest), the word, and each token's pair.
 
-    code: word numbers of all texts, each[i] of them in text i. Before a text there is a space and then zeros;
-    if ``across`` is not set, so there is before each word.
-    """
-    begin = np.int64(32) << (8 * (depth - 1))
-    if across:
-        size = np.diff(offsets) + 1
-        own = np.full(len(size), begin)  # the last bytes of each word and its space
-        for k in range(2, depth + 1):
-            at = np.flatnonzero(size >= k)
-            own[at] |= data[offsets[1:][at] - (k - 1)].astype(np.int64) << (8 * (depth - k))
-        first = np.repeat(np.cumsum(each) - each, each)
-        tail, filled, back = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64), 1
-        todo = np.arange(len(code))
-        while len(todo):
-            inside = todo - back >= first[todo]
-            out = todo[~inside]
-            tail[out] |= begin >> (8 * filled[out])
-            todo = todo[inside]
-            before = code[todo - back]
-            tail[todo] |= own[before] >> (8 * filled[todo])
-            filled[todo] += size[before]
-            todo = todo[filled[todo] < depth]
-            back += 1
-        tails, at = np.unique(tail, return_inverse=True)
-    else:
-        tails, at = np.array([begin]), np.zeros(len(code), np.int64)
-    many = max(len(offsets) - 1, 1)
-    pair, unit = np.unique(at * many + code, return_inverse=True)
-    return tails[pair // many], pair % many, unit
-
-
-def contexts(tail: np.ndarray, word: np.ndarray, offsets: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, unit) for each byte of each unit's word and its final space; the end has one byte.
-
-    A key is the context, nearest byte highest, then the byte itself: (depth + 1) * 8 bits.
-    """
-    size = np.diff(offsets)
-    count = (size + ~is_end(offsets, data))[word]
-    unit = np.repeat(np.arange(len(word)), count)
-    inside = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
-    padded = np.append(data, np.uint8(32))
-    start = offsets[:-1][word][unit]
-    key = padded[np.where(inside < size[word][unit], start + inside, len(data))].astype(np.int64)
-    key |= (tail[unit] >> (8 * np.minimum(inside, depth))) << 8
-    for k in range(1, depth + 1):
-        on = np.flatnonzero(inside >= k)
-        key[on] |= padded[start[on] + inside[on] - k].astype(np.int64) << (8 * (depth - k + 1))
-    return key, unit
-
-
-def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    order = np.argsort(key)
-    key = key[order]
-    start = runs(key)
-    return key[start], np.add.reduceat(n[order], start) if len(start) else n
-
-
-def counted(tail: np.ndarray, word: np.ndarray, n: np.ndarray, offsets: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all units in order, and their counts."""
-    parts = []
-    for lo in range(0, len(word), PIECE):
-        key, unit = contexts(tail[lo : lo + PIECE], word[lo : lo + PIECE], offsets, data, depth)
-        parts.append(merged(key, n[lo : lo + PIECE][unit]))
-    return merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-
-def packed_keys(key: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """For each two nearest bytes: these, the cuts between them, their keys as differences and the keys' counts (``varints``)."""
-    shift = 8 * (depth - 1)
-    near = key >> shift
-    start = runs(near)
-    ends = np.append(start, len(key))
-    gap = np.diff(key, prepend=0)
-    gap[start] = key[start] - (near[start] << shift)
-    return near[start], ends, binary_array(*varints(gap, ends)), binary_array(*varints(n, ends))
-
-
-def unpacked_keys(near: int, keys: bytes, depth: int) -> np.ndarray:
-    return np.cumsum(unpacked(np.frombuffer(keys, np.uint8))) + (near << (8 * (depth - 1)))
+def _log_gammas() -> list[np.ndarray]:
+    """log Gamma(k + 1/2) and log Gamma(k + 1) of the numbers below 2 ** 16, made at first use."""
+    if not _tables:
+        k = np.arange(_SMALL, dtype=np.float64)
+        _tables.extend([_lgamma(k + 0.5), _lgamma(k + 1.0)])
+    return _tables
 
 
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - np.log(np.pi)
+    half, whole = _log_gammas()
+    n = n0 + n1
+    i = np.minimum(n, _SMALL - 1).astype(np.int64)
+    out = half[np.minimum(n0, _SMALL - 1).astype(np.int64)] + half[np.minimum(n1, _SMALL - 1).astype(np.int64)] - whole[i]
+    big = np.flatnonzero(n >= _SMALL)
+    if len(big):
+        out[big] = _lgamma(n0[big] + 0.5) + _lgamma(n1[big] + 0.5) - _lgamma(n[big] + 1.0)
+    return out - np.log(np.pi)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -237,188 +266,284 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 / 1680))) - shift
 
 
-class Level:
-    """Decision nodes of all contexts of one depth. node = context << 8 | decision prefix (1 to 255)."""
+class Nodes:
+    """The decision nodes of one depth and one bit place: runs of keys that agree in the context and the bits before."""
 
-    def __init__(self, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
-        self.node, self.n0, self.n1 = node, n0, n1
-        own = _log_kt(n0, n1)
-        if below is None:
-            self.log_pw, self.beta = own, np.ones(len(node))
-        else:
-            self.log_pw = np.logaddexp(own, below) + np.log(0.5)
-            self.beta = np.exp(own + np.log(0.5) - self.log_pw)
-
-    def one(self) -> np.ndarray:
-        """Estimated probability of a one."""
-        return (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
-
-
-def decisions(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes of the deepest contexts, their counts, and for each key and decision the node's index and the bit."""
-    context, x = (key >> 8) << 8, key & 255
-    j = np.arange(8)
-    node = context[:, None] | (1 << j) | (x[:, None] >> (8 - j))
-    bit = (x[:, None] >> (7 - j)) & 1
-    nodes, at = np.unique(node, return_inverse=True)
-    at = at.reshape(node.shape)
-    weight = np.repeat(n[:, None], 8, 1).astype(np.float64)
-    n1 = np.bincount(at.ravel(), (weight * bit).ravel(), len(nodes))
-    n0 = np.bincount(at.ravel(), (weight * (1 - bit)).ravel(), len(nodes))
-    return nodes, n0, n1, at, bit
-
-
-def subtrees(key: np.ndarray, n: np.ndarray, depth: int, to: int) -> tuple[np.ndarray, np.ndarray, Level]:
-    """Weighs the levels from ``depth`` up to ``to``. Returns each key's probabilities of its eight bits by the level
-    ``to``, the bits' nodes there, and that level."""
-    nodes, n0, n1, at, bit = decisions(key, n)
-    level = Level(nodes, n0, n1, None)
-    # Probability of a one at each node of the level, mixed with the levels below on the way to a key.
-    mixed = level.one()[at]
+    def __init__(self, key: np.ndarray, n: np.ndarray, place: int):
+        self.start = runs(key >> (8 - place))
+        bit = (key >> (7 - place)) & 1
+        total = np.add.reduceat(n, self.start)
+        self.n1 = np.add.reduceat(n * bit, self.start)
+        self.n0 = total - self.n1
+        self.own = _log_kt(self.n0, self.n1)
+        self.log_pw, self.beta = self.own, np.ones(len(total))
+        self.of = np.repeat(np.arange(len(total)), np.diff(np.append(self.start, len(key))))  # each key's node
+        one = (self.n1 + 0.5) / (total + 1)
+        self.p = np.where(bit == 1, one[self.of], 1 - one[self.of])  # each key's bit, by this depth alone
+
+    def mix(self, below: np.ndarray) -> None:
+        self.log_pw = np.logaddexp(self.own, below) + np.log(0.5)
+        self.beta = np.exp(self.own + np.log(0.5) - self.log_pw)
+
+
+def subtrees(key: np.ndarray, n: np.ndarray, depth: int, to: int) -> tuple[np.ndarray, np.ndarray, list[Nodes]]:
+    """Weighs the depths from ``depth`` up to ``to``. Returns each key's probabilities of its eight bits (8 rows), the distinct keys of
+    depth ``to`` and their nodes at each bit place.
+
+    key: distinct, in order, with whole subtrees below depth ``to``; n: counts.
+    """
+    n = n.astype(np.float64)
+    level = [Nodes(key, n, j) for j in range(8)]
+    p = np.stack([x.p for x in level])
+    at = np.arange(len(key))
     for _ in range(depth - to):
-        parent = ((level.node >> 16) << 8) | (level.node & 255)
-        up_nodes, up = np.unique(parent, return_inverse=True)
-        upper = Level(up_nodes, np.bincount(up, level.n0, len(up_nodes)), np.bincount(up, level.n1, len(up_nodes)), np.bincount(up, level.log_pw, len(up_nodes)))
-        at = up[at]
-        beta = upper.beta[at]
-        mixed = beta * upper.one()[at] + (1 - beta) * mixed
-        level = upper
-    return np.where(bit == 1, mixed, 1 - mixed), level.node[at], level
+        up, index = np.unique(((key >> 16) << 8) | (key & 255), return_inverse=True)
+        n = np.bincount(index, n, len(up))
+        at = index[at]
+        for j in range(8):
+            upper = Nodes(up, n, j)
+            upper.mix(np.bincount(upper.of[index[level[j].start]], level[j].log_pw, len(upper.start)))
+            beta = upper.beta[upper.of][at]
+            p[j] = beta * upper.p[at] + (1 - beta) * p[j]
+            level[j] = upper
+        key = up
+    return p, key, level
 
 
 class Top:
-    """Levels 1 and 0, from sums over the nodes of level 2."""
+    """Depths 1 and 0, from sums over the nodes of depth 2. node: nearest byte << 8 | decision prefix (1 to 255)."""
 
     def __init__(self, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
         order = np.argsort(node)
-        node, n0, n1, below = node[order], n0[order].astype(float), n1[order].astype(float), below[order]
-        self.one_ = Level(node, n0, n1, below)
-        top, up = np.unique(node & 255, return_inverse=True)
-        self.zero = Level(top, np.bincount(up, n0, len(top)), np.bincount(up, n1, len(top)), np.bincount(up, self.one_.log_pw, len(top)))
+        self.node, n0, n1, below = node[order], n0[order].astype(float), n1[order].astype(float), below[order]
+        one, self.beta1, log_pw = self._weigh(n0, n1, below)
+        self.root, up = np.unique(self.node & 255, return_inverse=True)
+        zero, self.beta0, _ = self._weigh(*(np.bincount(up, x, len(self.root)) for x in (n0, n1, log_pw)))
+        self.one1, self.one0 = one, zero
+
+    @staticmethod
+    def _weigh(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = _log_kt(n0, n1)
+        log_pw = np.logaddexp(own, below) + np.log(0.5)
+        return (n1 + 0.5) / (n0 + n1 + 1), np.exp(own + np.log(0.5) - log_pw), log_pw
+
+    def finish(self, p: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
+        """log10 of each key's probability."""
+        nearest, x = (key >> (8 * depth)) << 8, key & 255
+        out = np.zeros(len(key))
+        for j in range(8):
+            prefix, bit = (1 << j) | (x >> (8 - j)), (x >> (7 - j)) & 1
+            q = p[j]
+            for nodes, one, beta, node in ((self.node, self.one1, self.beta1, nearest | prefix), (self.root, self.one0, self.beta0, prefix)):
+                i = np.searchsorted(nodes, node)
+                q = beta[i] * np.where(bit == 1, one[i], 1 - one[i]) + (1 - beta[i]) * q
+            out += np.log10(q)
+        return out
+
+
+# ---------------------------------------------------------------- groups
+
+TOGETHER = 1 << 18  # keys of several groups that are weighed at once
+SUMS = "near long, keys binary, key_n binary, node long, n0 double, n1 double, below double"
+SUMS_SCHEMA = pa.schema([("near", pa.int64()), ("keys", pa.binary()), ("key_n", pa.binary()), ("node", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("below", pa.float64())])
+
+
+def sum_rows(count: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in SUMS_SCHEMA], schema=SUMS_SCHEMA)
+
+
+def by_group(arrow: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
+    """The rows of each group, which stand together; the first column is the group. One batch of rows is held at a time:
+    a group comes in several lists, of which all but the first begin with None."""
+    last: object = None
+    for t in arrow:
+        rows = list(zip(*(t.column(i).to_pylist() for i in range(columns)), strict=True))
+        lo = 0
+        for hi in range(1, len(rows) + 1):
+            if hi == len(rows) or rows[hi][0] != rows[lo][0]:
+                yield ([None] if rows[lo][0] == last else []) + rows[lo:hi]
+                last, lo = rows[lo][0], hi
+
+
+def add_groups(arrow: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """near, keys, counts and (of words) spelling of each group, added up over its rows (near, keys, key_n)."""
+    near, parts, held = None, [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        if near >= 0:
+            return *merged(key, n), np.zeros(0, np.uint8)
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        start = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]).any(1)))
+        blob = np.concatenate([p[2] for p in parts])
+        lo, hi = spelled(blob)
+        first = order[start]
+        return key[first], np.add.reduceat(n[order], start), blob[ragged(lo[first], (hi - lo)[first] + 1)]
+
+    for rows in by_group(arrow, 3):
+        if rows[0] is not None and near is not None:
+            yield near, *joined()
+        if rows[0] is not None:
+            near, parts, held = rows[0][0], [], 0
+        for _, keys, n in rows[rows[0] is None :]:
+            blob = np.frombuffer(keys, np.uint8)
+            key = unpacked_keys(near, keys, depth) if near >= 0 else word_keys(blob)
+            parts.append((key, unpacked(np.frombuffer(n, np.uint8)), blob))
+            held += len(key)
+            if held > max(1 << 20, 2 * len(parts[0][0])):
+                parts = [joined()]
+                held = len(parts[0][0])
+    if near is not None:
+        yield near, *joined()
+
+
+def summed(dealt: DataFrame, depth: int) -> DataFrame:
+    """dealt: near, keys, key_n, the rows of a group in one task and together. Rows of three kinds: a group's sums, in
+    pieces (near, keys, key_n); sums over nodes of depth 1 (node, n0, n1, below); and of training words (n0: tokens, n1: distinct words)."""
+    limit = 1 << 20
+
+    def weighed(groups: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, n = (np.concatenate(x) for x in zip(*groups, strict=True))
+        _, key2, level = subtrees(key, n, depth, 2)
+        node = np.concatenate([((key2[x.start] >> 16) << 8) | (1 << j) | ((key2[x.start] & 255) >> (8 - j)) for j, x in enumerate(level)])
+        u, at = np.unique(node, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([getattr(x, c) for x in level]), len(u)) for c in ("n0", "n1", "log_pw")]
+        return sum_rows(len(u), {"node": pa.array(u), **{c: pa.array(v) for c, v in zip(("n0", "n1", "below"), sums, strict=True)}})
 
-    def finish(self, p: np.ndarray, node2: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        node1 = ((node2 >> 16) << 8) | (node2 & 255)
-        for level, node in ((self.one_, node1), (self.zero, node1 & 255)):
-            i = np.minimum(np.searchsorted(level.node, node), len(level.node) - 1)
-            own = level.one()[i]
-            own = np.where(bit == 1, own, 1 - own)
-            p = level.beta[i] * own + (1 - level.beta[i]) * p
-        return p
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait, held = [], 0
+        for near, key, n, blob in add_groups(arrow, depth):
+            for lo in range(0, len(key), limit):
+                hi = min(lo + limit, len(key))
+                if near >= 0:
+                    gap = np.diff(key[lo:hi], prepend=near << (8 * (depth - 1)))
+                    keys = varints(gap, np.zeros(1, np.int64))[0].tobytes()
+                else:
+                    ends = np.append(0, spelled(blob)[1] + 1)
+                    keys = blob[ends[lo] : ends[hi]].tobytes()
+                yield sum_rows(1, {"near": pa.array([near]), "keys": pa.array([keys]), "key_n": pa.array([varints(n[lo:hi], np.zeros(1, np.int64))[0].tobytes()])})
+            if near < 0:
+                yield sum_rows(1, {"n0": pa.array([float(n.sum())]), "n1": pa.array([float((n > 0).sum())])})
+                continue
+            wait.append((key, n))
+            held += len(key)
+            if held > TOGETHER:
+                yield weighed(wait)
+                wait, held = [], 0
+        if wait:
+            yield weighed(wait)
+        trim()
+
+    return dealt.mapInArrow(run, SUMS)
+
+
+def answered(dealt: DataFrame, depth: int, top: Top) -> DataFrame:
+    """dealt: near, batch (null for the group's sums, which come first), keys, key_n. Answers each batch's row: logs, for
+    contexts log10 of the probabilities (32-bit floats), for words the training counts (``varints``)."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, values, keys = [], None, None
+        for rows in by_group(arrow, 4):
+            if rows[0] is not None:
+                parts, values = [], None
+            out = []
+            for near, batch, pack, n in rows[rows[0] is None :]:
+                key = unpacked_keys(near, pack, depth) if near >= 0 else word_keys(np.frombuffer(pack, np.uint8))
+                if batch is None:
+                    parts.append((key, unpacked(np.frombuffer(n, np.uint8))))
+                    continue
+                if values is None:
+                    keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.argsort(keys) if near >= 0 else np.lexsort((keys[:, 1], keys[:, 0]))
+                    keys, values = keys[order], values[order]
+                    parts = []
+                    if near >= 0:
+                        p, _, _ = subtrees(keys, values, depth, 2)
+                        values = top.finish(p, keys, depth).astype(np.float32)
+                        del p
+                value = values[found_at(keys, key)]
+                out.append((batch, near, value.tobytes() if near >= 0 else varints(value, np.zeros(1, np.int64))[0].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["batch", "near", "logs"])
+        trim()
+
+    return dealt.mapInArrow(run, "batch long, near long, logs binary")
 
 
 # ---------------------------------------------------------------- the operator
 
+RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+
 
-def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20, across: bool = False) -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each text.
 
     docs: doc_id, held_out (texts to learn nothing from), text; other columns are ignored. Words are
     separated by bytes 20 and 09 to 0D; the end counts as a token. base_score: log10 of the add-one unigram
-    probability; score: log10 probability by context-tree weighting. Null text: empty, the end alone. Null held_out
-    counts as held out. Null doc_id and repeated rows: one row out for each row in. Empty table: no rows; with
-    nothing to learn from, every decision has probability one half. across: a byte's context is its text's bytes
-    before it, not its word's only.
+    probability; score: log10 probability by context-tree weighting, from 32-bit logarithms of each byte's. Null text:
+    empty, the end alone. Null held_out counts as held out. Null doc_id and repeated rows: one row out for each row in.
+    Empty table: no rows; with nothing to learn from, every decision has probability one half. A very long text is a
+    batch of its own. Memory: a batch with its contexts, or the distinct (context, byte) pairs of one pair of nearest bytes.
     """
     if not 2 <= depth <= 6:
-        raise ValueError("depth must be 2 to 6")
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+        raise ValueError("depth must be 2 to 6: a context and its byte are one 64-bit number")
+    scratch = Scratch(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    batched = scratch.save("batched", batches_of(src, batch_bytes, depth, across))
-    listed = batched.filter("words is not null").select("batch", F.posexplode(F.arrays_zip("words", "n")).alias("code", "w")).select("batch", "code", F.col("w.words").alias("word"), F.col("w.n").alias("n"))
-    known = scratch.save("known", listed.groupBy("word").agg(F.sum("n").alias("c")))
-    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    batched = scratch.save("batched", batches_of(src, batch_bytes, depth))
+    groups = batched.filter("near is not null")
+    tasks = partitions_for(groups.agg(F.sum("n_keys")).first()[0], 1_000_000)
+    sums = scratch.save("sums", summed(groups.select("near", "keys", "key_n").repartition(tasks, "near").sortWithinPartitions("near"), depth))
     scratch.release()
-
-    seen = batched.filter("near is not null").select("near", "batch", "keys", "key_n")
-    tasks = partitions_for(batched.agg(F.sum("n_keys")).first()[0], 1_000_000)
-    dealt = seen.repartition(tasks, "near").sortWithinPartitions("near")
-
-    def subtree_rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]], np.ndarray, np.ndarray]]:
-        """Each two nearest bytes: these, the packed keys of each batch, all distinct keys and their counts."""
-        near, packs, keys, ns, held = -1, [], [], [], 0
-        for t in arrow:
-            for at, batch, pack, n in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True):
-                if at != near:
-                    if packs:
-                        yield near, packs, *merged(np.concatenate(keys), np.concatenate(ns))
-                    near, packs, keys, ns, held = at, [], [], [], 0
-                packs.append((batch, pack))
-                keys.append(unpacked_keys(near, pack, depth))
-                ns.append(unpacked(np.frombuffer(n, np.uint8)))
-                held += len(keys[-1])
-                if held > max(1 << 20, 2 * len(keys[0])):
-                    k, m = merged(np.concatenate(keys), np.concatenate(ns))
-                    keys, ns, held = [k], [m], len(k)
-        if packs:
-            yield near, packs, *merged(np.concatenate(keys), np.concatenate(ns))
-        trim()
-
-    def upper(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, key, n in subtree_rows(arrow):
-            _, _, level = subtrees(key, n, depth, 2)
-            node = ((level.node >> 16) << 8) | (level.node & 255)
-            u, at = np.unique(node, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), *[pa.array(np.bincount(at, v, len(u))) for v in (level.n0, level.n1, level.log_pw)]], names=["node", "n0", "n1", "below"])
-
-    top_rows = dealt.mapInArrow(upper, "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
-    top_table = top_rows.toArrow()  # at most 256 * 255 rows
-    top = Top(*[np.asarray(top_table.column(c)) for c in ("node", "n0", "n1", "below")])
-
-    def weigh(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for near, packs, key, n in subtree_rows(arrow):
-            p, node, _ = subtrees(key, n, depth, 2)
-            bit = ((key & 255)[:, None] >> (7 - np.arange(8))) & 1
-            value = np.log10(top.finish(p, node, bit)).sum(1)
-            del p, node, bit
-            for lo in range(0, len(packs), 32):
-                some = packs[lo : lo + 32]
-                logs = [value[np.searchsorted(key, unpacked_keys(near, pack, depth))].tobytes() for _, pack in some]
-                yield pa.RecordBatch.from_arrays([pa.array([batch for batch, _ in some]), pa.array(np.full(len(some), near)), pa.array([pack for _, pack in some], pa.binary()), pa.array(logs, pa.binary())], names=["batch", "near", "keys", "logs"])
-
-    values = dealt.mapInArrow(weigh, "batch long, near long, keys binary, logs binary")
-    counts = listed.join(known, "word").select("batch", "code", "c")
-    answers = scratch.save("answers", values.unionByName(counts, allowMissingColumns=True))
-    del listed, known, seen, dealt, top_rows, values, counts
-    scratch.drop("known")
+    total, distinct = (int(x or 0) for x in sums.filter("near is null and node is null").agg(F.sum("n0"), F.sum("n1")).first())
+    nodes = sums.filter("node is not null").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()  # at most 256 * 255 rows
+    top = Top(*[np.asarray(nodes.column(c)) for c in ("node", "n0", "n1", "below")])
+    asked = groups.select("near", "batch", "keys", "key_n").unionByName(sums.filter("near is not null").select("near", F.lit(None).cast("long").alias("batch"), "keys", "key_n"))
+    answers = answered(asked.repartition(tasks, "near").sortWithinPartitions("near", F.col("batch").asc_nulls_first()), depth, top)
     base = float(total + distinct + 1)
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        isword = np.asarray(left.column("words").is_valid())
-        if not isword.any():
-            return out.empty_table()
-        vocabulary = left.column("words").filter(pa.array(isword)).combine_chunks()
-        vocabulary = (vocabulary.chunk(0) if isinstance(vocabulary, pa.ChunkedArray) else vocabulary).flatten()
-        c = np.zeros(len(vocabulary))
-        counted_ = right.filter(right.column("code").is_valid())
-        c[np.asarray(counted_.column("code"))] = np.asarray(counted_.column("c"))
-        packed = right.filter(right.column("near").is_valid()).sort_by("near")
-        k, v = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for near, pack, logs in zip(*(packed.column(x).to_pylist() for x in ("near", "keys", "logs")), strict=True):
-            k.append(unpacked_keys(near, pack, depth))
-            v.append(np.frombuffer(logs, np.float64))
-        k, v = np.concatenate(k), np.concatenate(v)
-        del packed, counted_
+        left, right = left.combine_chunks(), right.sort_by("near")
+        near = np.asarray(left.column("near").fill_null(0))
+        isword = np.asarray(left.column("near").is_valid())
+        spelling = left.filter(pa.array(isword)).take(pa.array(np.argsort(near[isword])))
         rows = left.filter(pa.array(~isword))
+        logs = right.column("logs").to_pylist()
+        k = int((np.asarray(right.column("near")) < 0).sum())
+        value = np.frombuffer(b"".join(logs[k:]), np.float32).astype(np.float64)
+        counts = unpacked(np.frombuffer(b"".join(logs[:k]), np.uint8))
+        gaps = [np.cumsum(unpacked(np.frombuffer(x, np.uint8))) for x in spelling.column("codes").to_pylist()]
+        code_of = np.concatenate(gaps)
+        blob = np.frombuffer(b"".join(spelling.column("keys").to_pylist()), np.uint8)
+        lo, hi = spelled(blob)
+        c, start, size = (np.zeros(len(code_of), np.int64) for _ in range(3))
+        c[code_of], start[code_of], size[code_of] = counts, lo, hi - lo
         base_p = np.log10((c + 1) / base)
         offsets, raw = utf8(rows.column("codes"))
         code = unpacked(raw)
-        ends = np.concatenate([[0], np.cumsum(raw < 128)])
-        each = np.diff(ends[offsets])
-        del raw, ends
-        spelled = utf8(vocabulary)
-        tail, word, unit = units(code, each, *spelled, depth, across)
-        log_p = np.zeros(len(word))
-        for lo in range(0, len(word), PIECE):
-            g, u = contexts(tail[lo : lo + PIECE], word[lo : lo + PIECE], *spelled, depth)
-            log_p[lo : lo + PIECE] = np.bincount(u, v[np.searchsorted(k, g)], min(PIECE, len(word) - lo))
+        each = np.diff(np.concatenate([[0], np.cumsum(raw < 128)])[offsets])
         doc = np.repeat(np.arange(len(each)), each)
-        known_, b, s = (np.bincount(doc, x, len(each)) for x in ((c > 0)[code], base_p[code], log_p[unit]))
+        n_bytes = np.bincount(doc, size[code] + 1, len(each)).astype(np.int64) + 1
+        found = []
+        cut = cuts(n_bytes, PIECE)
+        ends = np.concatenate([[0], np.cumsum(each)])
+        for a, b in zip(cut, cut[1:], strict=False):
+            w = code[ends[a] : ends[b]]
+            key, own = contexts(*stream(blob, start[w], size[w], doc[ends[a] : ends[b]] - a, b - a), depth)
+            # Distinct keys of the piece, and how often each text has each.
+            order = np.argsort(key)
+            key = key[order]
+            first = runs(key)
+            found.append((key[first], np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(key)))), own[order]))
+            del key, order, own
+        keys = np.unique(np.concatenate([x[0] for x in found]))  # in the order of the answers
+        s = np.zeros(len(each))
+        for (a, b), (key, at, own) in zip(zip(cut, cut[1:], strict=False), found, strict=True):
+            s[a:b] = np.bincount(own, value[np.searchsorted(keys, key)][at], b - a)
+        known, score_ = (np.bincount(doc, x, len(each)) for x in ((c > 0)[code], base_p[code]))
         n = rows.num_rows
-        each, known_ = each.astype(np.int64), known_.astype(np.int64)
         trim()
-        bits = -s * np.log2(10) / np.asarray(rows.column("n_bytes"))
-        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(each), pa.array(known_), pa.array(np.full(n, total)), pa.array(b), pa.array(s), pa.array(bits)], schema=out)
+        columns = [rows.column("doc_id"), rows.column("held_out"), pa.array(each + 1), pa.array(known.astype(np.int64) + int(c[0] > 0)), pa.array(np.full(n, total)), pa.array(score_ + base_p[0]), pa.array(s), pa.array(-s * np.log2(10) / n_bytes)]
+        return pa.Table.from_arrays(columns, schema=RESULT)
 
-    return batched.filter("near is null").drop("n", "near", "n_keys", "keys", "key_n").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    left = batched.filter("near is null or near < 0").select("batch", "doc_id", "held_out", "codes", "near", "keys")
+    return left.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

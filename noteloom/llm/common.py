@@ -45,19 +45,22 @@ class Scratch:
         self.paths: dict[str, str] = {}
         self.saved = 0
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
+    def save(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """With ``by``, rows lie in a folder for each value of that column, which ``drop`` takes as name/column=value."""
         self.saved += 1
         path = f"{self.root}/{name}-{self.saved}"
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes saved tables and lets Spark's cleaner free the shuffles of finished plans."""
+        """Deletes saved tables, or their parts, and lets Spark's cleaner free the shuffles of finished plans."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.paths.pop(n))
+            whole, _, part = n.partition("/")
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.paths[whole]}/{part}" if part else self.paths.pop(whole))
             p.getFileSystem(conf).delete(p, True)
         self.release()
 

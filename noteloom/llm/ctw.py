@@ -151,11 +151,13 @@ def cuts(size: np.ndarray, each: int) -> list[int]:
 
 
 PIECE = 4 << 20  # bytes whose contexts are held at once
-SCHEMA = pa.schema([("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("near", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("key_n", pa.binary())])
+SCHEMA = pa.schema([("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("near", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("key_n", pa.binary()), ("kind", pa.int32())])
+#: Kinds of a batch's rows.
+TEXTS, WORDS, CONTEXTS = 0, 1, 2
 
 
-def rows_of(batch: int, count: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    columns["batch"] = pa.array(np.full(count, batch))
+def rows_of(batch: int, kind: int, count: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns |= {"batch": pa.array(np.full(count, batch)), "kind": pa.array(np.full(count, kind, np.int32))}
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in SCHEMA], schema=SCHEMA)
 
 
@@ -193,7 +195,7 @@ def batches_of(docs: DataFrame, bytes_each: int, depth: int) -> DataFrame:
                     base += len(data)
                     rows += piece.num_rows
                 near, ends, keys, key_n = packed_keys(*merged(*(np.concatenate(x) for x in zip(*pairs, strict=True))), depth)
-                yield rows_of(number, len(near), {"near": pa.array(near), "n_keys": pa.array(np.diff(ends)), "keys": keys, "key_n": key_n})
+                yield rows_of(number, CONTEXTS, len(near), {"near": pa.array(near), "n_keys": pa.array(np.diff(ends)), "keys": keys, "key_n": key_n})
                 del pairs, keys, key_n
                 found, places, sizes, codes, owner, data = (np.concatenate(x) for x in (found, places, sizes, codes, owner, low))
                 del low
@@ -205,7 +207,7 @@ def batches_of(docs: DataFrame, bytes_each: int, depth: int) -> DataFrame:
                 number_of[often] = np.arange(1, len(first) + 1, dtype=np.int32)
                 codes = number_of[codes]
                 packed, at = varints(codes, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]))
-                yield rows_of(number, rows, {"doc_id": part.column(0), "held_out": part.column(1), "codes": binary_array(packed, at)})
+                yield rows_of(number, TEXTS, rows, {"doc_id": part.column(0), "held_out": part.column(1), "codes": binary_array(packed, at)})
                 n = np.bincount(codes[~held[owner]], minlength=len(first) + 1)
                 n[0] = (~held).sum()
                 # The end is spelled as a line feed, which no word holds.
@@ -221,12 +223,12 @@ def batches_of(docs: DataFrame, bytes_each: int, depth: int) -> DataFrame:
                 cut = np.append(start, len(group))
                 gap = np.diff(order, prepend=0)
                 gap[start] = order[start]
-                yield rows_of(number, len(start), {"near": pa.array(-1 - group[start]), "n_keys": pa.array(np.diff(cut)), "keys": binary_array(blob, np.append(0, stop)[cut]), "key_n": binary_array(*varints(n[order], cut)), "codes": binary_array(*varints(gap, cut))})
+                yield rows_of(number, WORDS, len(start), {"near": pa.array(-1 - group[start]), "n_keys": pa.array(np.diff(cut)), "keys": binary_array(blob, np.append(0, stop)[cut]), "key_n": binary_array(*varints(n[order], cut)), "codes": binary_array(*varints(gap, cut))})
                 number += 1
                 del blob, packed, data, found, codes, owner
                 trim()
 
-    return docs.mapInArrow(run, "batch long, doc_id long, held_out boolean, codes binary, near long, n_keys long, keys binary, key_n binary")
+    return docs.mapInArrow(run, "batch long, doc_id long, held_out boolean, codes binary, near long, n_keys long, keys binary, key_n binary, kind int")
 
 
 # ---------------------------------------------------------------- weights
@@ -489,8 +491,8 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataF
         raise ValueError("depth must be 2 to 6: a context and its byte are one 64-bit number")
     scratch = Scratch(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    batched = scratch.save("batched", batches_of(src, batch_bytes, depth))
-    groups = batched.filter("near is not null")
+    batched = scratch.save("batched", batches_of(src, batch_bytes, depth), by="kind")
+    groups = batched.filter(F.col("kind") != TEXTS)
     tasks = partitions_for(groups.agg(F.sum("n_keys")).first()[0], 1_000_000)
     sums = scratch.save("sums", summed(groups.select("near", "keys", "key_n").repartition(tasks, "near").sortWithinPartitions("near"), depth))
     scratch.release()
@@ -498,7 +500,9 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataF
     nodes = sums.filter("node is not null").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()  # at most 256 * 255 rows
     top = Top(*[np.asarray(nodes.column(c)) for c in ("node", "n0", "n1", "below")])
     asked = groups.select("near", "batch", "keys", "key_n").unionByName(sums.filter("near is not null").select("near", F.lit(None).cast("long").alias("batch"), "keys", "key_n"))
-    answers = answered(asked.repartition(tasks, "near").sortWithinPartitions("near", F.col("batch").asc_nulls_first()), depth, top)
+    answers = scratch.save("answers", answered(asked.repartition(tasks, "near").sortWithinPartitions("near", F.col("batch").asc_nulls_first()), depth, top))
+    del groups, asked
+    scratch.drop("sums", f"batched/kind={CONTEXTS}")
     base = float(total + distinct + 1)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -545,5 +549,5 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataF
         columns = [rows.column("doc_id"), rows.column("held_out"), pa.array(each + 1), pa.array(known.astype(np.int64) + int(c[0] > 0)), pa.array(np.full(n, total)), pa.array(score_ + base_p[0]), pa.array(s), pa.array(-s * np.log2(10) / n_bytes)]
         return pa.Table.from_arrays(columns, schema=RESULT)
 
-    left = batched.filter("near is null or near < 0").select("batch", "doc_id", "held_out", "codes", "near", "keys")
+    left = batched.filter(F.col("kind").isin(TEXTS, WORDS)).select("batch", "doc_id", "held_out", "codes", "near", "keys")
     return left.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -15,35 +15,6 @@ def strip_frontmatter(text: Column) -> Column:
     return F.when(F.startswith(t, F.lit("---\n")) & (end > 0), F.substring(t, end + 5, F.length(t))).otherwise(t)
 
 
-def normalize_section(number: Column) -> Column:
-    """Without white space and one final dot."""
-    return F.regexp_replace(F.regexp_replace(number, r"\s+", ""), r"\.$", "")
-
-
-def section_request(question: Column) -> Column:
-    """The section number that a question names explicitly; null if none."""
-    got = F.regexp_extract(question, r"(?i)(?:\b(?:section|sec\.)\s+|§\s*)(\d+(?:\.\d+){1,4})", 1)
-    return F.when(got != "", got)
-
-
-def is_toc_entry(line: Column) -> Column:
-    return line.rlike(r"(?:\.{3,}|…{2,})\s*\d{1,4}\s*$")
-
-
-def is_generic_heading(line: Column) -> Column:
-    """A line of 4 to 100 characters in capitals that ends no sentence and is no table-of-contents entry."""
-    t = F.trim(line)
-    return F.length(t).between(4, 100) & t.rlike("[A-Z]") & (t == F.upper(t)) & ~t.rlike(r"[.!?]$") & ~is_toc_entry(t)
-
-
-def is_section_title(title: Column) -> Column:
-    """1 to 160 characters, at most 18 words, no contents entry, no page number at its end, no lower-case start, no sentence."""
-    t = F.trim(title)
-    return (
-        F.length(t).between(1, 160) & (F.size(F.split(t, r"\s+")) <= 18) & ~is_toc_entry(t) & ~t.rlike(r"\s\d{1,4}$") & ~t.rlike(r"^[^A-Za-z]*[a-z]") & (~t.rlike(r"[.!?;]$") | (t == F.upper(t)))
-    )
-
-
 def truncate(text: Column, most: int) -> Column:
     """Up to ``most`` characters: the head (65 %), a marker and the tail; a plain prefix if ``most`` is at most 80."""
     if most <= 80:
@@ -58,34 +29,11 @@ def conversation_title(text: Column) -> Column:
     return F.when(t == "", "New chat").when(F.length(t) <= 48, t).otherwise(F.concat(F.substring(t, 1, 45), F.lit("...")))
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
-
-
-def canonical_token(token: Column) -> Column:
-    t = F.regexp_replace(F.lower(token), "[^a-z0-9]", "")
-    return F.when(t.startswith("comput"), "comput").when((F.length(t) > 5) & t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-
-
-def normalize_name(name: Column) -> Column:
-    """A source's name for matching: words apart, lower case, no extension, no final version, copy or size words."""
-    t = F.regexp_replace(name, r"(\p{Ll}|\d)(\p{Lu})", "$1 $2")
-    t = F.regexp_replace(t, r"(?i)\.(md|pdf)$", "")
-    t = F.lower(F.regexp_replace(t, r"[_\\/\-]+", " "))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}. ]+", " "), " +", " "))
-    return F.regexp_replace(t, r"(?: (?:v?\d+(?:\.\d+)*|\d+(?:\.\d+)?x\d+(?:\.\d+)?|final|copy|scan))+$", "")
-
-
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def is_lecture_request(question: Column) -> Column:
-    return question.rlike(r"(?i)\b(?:create|make|write|generate|prepare|give)\b.{0,40}\b(?:lecture|lesson|tutorial)\b|\b(?:lecture|lesson)\s+(?:notes\s+)?(?:on|about|for|covering)\b|\bteach\s+me\b|\bturn\b.{0,60}\binto\s+a\s+(?:lecture|lesson)\b")
-
-
 def tags(text: Column) -> Column:
     """Inline #tags, first seen first, each once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|\s)#([A-Za-z][\w/-]*)"), F.lit(1)))

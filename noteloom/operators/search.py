@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,16 +59,20 @@ def cosine(a: str, b: str) -> Column:
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
 
 
+def question_blocks(questions: DataFrame, each: int = 4096) -> Iterator[DataFrame]:
+    """Cuts a stated query set into blocks of about ``each`` rows by the hash of q_id; at least one block."""
+    blocks = -(-questions.count() // each) or 1
+    for b in range(blocks):
+        yield questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
+
+
 def vector_matches(questions: DataFrame, vectors: DataFrame, max_questions: int = 4096) -> DataFrame:
     """questions (q_id, vec), vectors (id, vec): cosine similarity of all, q_id, id, score.
 
     The question set is a stated query set; it is read in blocks of about ``max_questions``, and each block is sent to all tasks.
     """
-    qs = questions.select("q_id", F.col("vec").alias("q_vec"))
-    blocks = -(-qs.count() // max_questions) or 1
     out = None
-    for b in range(blocks):
-        part = qs if blocks == 1 else qs.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
+    for part in question_blocks(questions.select("q_id", F.col("vec").alias("q_vec")), max_questions):
         hits = vectors.join(F.broadcast(part)).select("q_id", "id", cosine("q_vec", "vec").alias("score"))
         out = hits if out is None else out.unionByName(hits)
     return out

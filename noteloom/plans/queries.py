@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import codec
+from ..functions import names as N
 from ..functions import text as T
 from ..operators import catalog, chunk, context, index, search
 from ..sources.files import documents_as_sources, indexable, table
 from ..streaming import events as feed
+from . import paged, resolution  # noqa: F401  these register their queries too
+from .registry import ORACLE, QUERIES, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 CFG = EngineConfig()
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -76,31 +64,12 @@ def meta_props(spark, d):
 # ---------------------------------------------------------------- chunking
 
 
-@query()
-def chunk_markdown(spark, d):
-    return chunk.chunk_markdown(_sources(spark, d))
-
-
-@query()
-def embedding_text(spark, d):
-    return chunk.embedding_text(chunk.chunk_markdown(_sources(spark, d))).select("chunk_id", F.sha2("embedding_text", 256).alias("text_sha256"))
-
-
 @query("select doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) as head, sha256(text) as body_sha256 from documents")
 def chunk_frontmatter(spark, d):
     docs = table(spark, d, "documents").withColumn("head", F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\n---\n")))
     return docs.select("doc_id", "head", F.sha2(T.strip_frontmatter(F.concat("head", "text")), 256).alias("body_sha256"))
 
 
-@query(
-    "select doc_id, count(*) as n_headings from (select doc_id, trim(unnest(string_split(text, chr(10)))) as t from documents) x "
-    "where length(t) between 4 and 100 and regexp_matches(t, '[A-Z]') and t = upper(t) and not regexp_matches(t, '[.!?]$') and not regexp_matches(t, '(?:\\.{3,}|…{2,})\\s*\\d{1,4}\\s*$') group by doc_id"
-)
-def generic_headings(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(T.is_generic_heading(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_headings"))
-
-
 @query("with l as (select source || '/' || doc_id || '.md' as path, len(string_split(text, chr(10))) as n from documents) select path, p as part, least(64, n - 64 * p) as n_chunks from l, range(10000) t(p) where 64 * p < n")
 def portable_objects(spark, d):
     lines = _sources(spark, d).select("path", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
@@ -358,25 +327,12 @@ def cdc_apply(spark, d):
 
 @query("select p_partkey, lower(p_name) as name from part")
 def normalize_source_name(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.normalize_name(F.concat("p_name", F.lit("_final.pdf"))).alias("name"))
+    return table(spark, d, "part").select("p_partkey", N.normalize_name(F.concat("p_name", F.lit("_final.pdf"))).alias("name"))
 
 
 @query("select p_partkey, round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type)), 6) as similarity from part")
 def edit_similarity(spark, d):
-    return table(spark, d, "part").select("p_partkey", r6(T.edit_similarity(F.lower("p_name"), F.lower("p_type"))).alias("similarity"))
-
-
-@query("select q, regexp_extract(q, '(?i)(?:section|sec\\.)\\s+(\\d+(?:\\.\\d+){1,4})', 1) as number from (select 'explain section ' || (doc_id % 9) || '.' || (doc_id % 5) || ' of ' || source as q from documents) t")
-def section_request(spark, d):
-    n = lambda k: (F.col("doc_id") % k).cast("string")
-    q = F.concat(F.lit("explain section "), n(9), F.lit("."), n(5), F.lit(" of "), F.col("source"))
-    return table(spark, d, "documents").select(q.alias("q")).withColumn("number", T.section_request(F.col("q")))
-
-
-@query("select doc_id, doc_id % 2 = 0 as lecture from documents")
-def route_lecture(spark, d):
-    q = F.concat(F.when(F.col("doc_id") % 2 == 0, "create a lecture about ").otherwise("what is said about "), F.col("source"))
-    return table(spark, d, "documents").select("doc_id", T.is_lecture_request(q).alias("lecture"))
+    return table(spark, d, "part").select("p_partkey", r6(N.edit_similarity(F.lower("p_name"), F.lower("p_type"))).alias("similarity"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -387,69 +343,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return context.budget(ranked, CFG.context_chunks, CFG.context_chars)
 
 
-# ---------------------------------------------------------------- sections and citations, over literal rows
-
-_SECTIONS = [("a.pdf", "1.2", "Alpha", 1, 0), ("a.pdf", "1.10", "Beta", 4, 1), ("a.pdf", "1.2.1", "Gamma", 2, 2), ("a.pdf", "10.1", "Delta", 9, 3), ("a.pdf", "1.2", "Alpha again", 3, 4), ("b.md", "1.2", "Other", None, 0), ("b.md", "", "Notes", None, 1)]
-_SECTION_SQL = "s(path, number, title, page, chunk_index) as (values " + ", ".join("('{}', '{}', '{}', {}, {})".format(p, n, t, "null::int" if g is None else g, i) for p, n, t, g, i in _SECTIONS) + ")"
-
-
-def _sections(spark):
-    return spark.createDataFrame(_SECTIONS, "path string, number string, title string, page int, chunk_index int")
-
-
-@query(f"with {_SECTION_SQL}, g as (select path, number, arg_min(title, chunk_index) as title, list_resize(list_transform(string_split(number, '.'), lambda x: cast(x as int)), 6, 0) as k from s where number <> '' group by path, number) select path, number, title, row_number() over (partition by path order by k, number) as place from g")
-def sections_sorted(spark, d):
-    g = _sections(spark).filter("number <> ''").groupBy("path", "number").agg(F.min_by("title", "chunk_index").alias("title"))
-    parts = F.transform(F.split("number", r"\."), lambda x: x.cast("int"))
-    key = F.slice(F.concat(parts, F.array_repeat(F.lit(0), 6)), 1, 6)
-    place = F.row_number().over(W.partitionBy("path").orderBy(key, "number"))
-    return g.select("path", "number", "title", place.cast("long").alias("place"))
-
-
-@query(f"with {_SECTION_SQL} select path, number, title, chunk_index from s where path = 'a.pdf' and number = '1.2' order by page, chunk_index limit 12")
-def section_exact(spark, d):
-    return _sections(spark).filter((F.col("path") == "a.pdf") & (F.col("number") == "1.2")).orderBy("page", "chunk_index").limit(12).select("path", "number", "title", "chunk_index")
-
-
-@query(f"with {_SECTION_SQL} select count(*) as n, count_if(path <> 'a.pdf' or number <> '1.2') as n_bad from s where title like 'Alpha%'")
-def section_integrity(spark, d):
-    return _sections(spark).filter("title like 'Alpha%'").agg(F.count("*").alias("n"), F.count_if((F.col("path") != "a.pdf") | (F.col("number") != "1.2")).alias("n_bad"))
-
-
-@query(f"with {_SECTION_SQL} select path, title, case when path like '%.pdf' and page > 0 then path || '#page=' || page when path like '%.md' and title <> '' then path || '#' || title else path end as target from s")
-def citation_targets(spark, d):
-    page = (F.lower("path").endswith(".pdf")) & (F.col("page") > 0)
-    heading = F.lower("path").endswith(".md") & (F.col("title") != "")
-    return _sections(spark).select("path", "title", F.when(page, F.concat("path", F.lit("#page="), F.col("page").cast("string"))).when(heading, F.concat("path", F.lit("#"), "title")).otherwise(F.col("path")).alias("target"))
-
-
-_NUMBERS = ["1 . 5", " 2.3. ", "1.2.", "4", " 10 .1 . 2 "]
-
-
-@query("select n, regexp_replace(regexp_replace(n, '\\s+', '', 'g'), '\\.$', '') as number from (values " + ", ".join(f"('{n}')" for n in _NUMBERS) + ") t(n)")
-def section_normalize(spark, d):
-    return spark.createDataFrame([(n,) for n in _NUMBERS], "n string").select("n", T.normalize_section(F.col("n")).alias("number"))
-
-
-_TOC = ["Intro ..... 12", "Intro …… 9", "Intro .. 3", "Intro 12", "A ... b"]
-
-
-@query("select l, regexp_matches(l, '(\\.{3,}|…{2,})\\s*\\d{1,4}\\s*$') as toc from (values " + ", ".join(f"('{n}')" for n in _TOC) + ") t(l)")
-def toc_filter(spark, d):
-    return spark.createDataFrame([(n,) for n in _TOC], "l string").select("l", T.is_toc_entry(F.col("l")).alias("toc"))
-
-
-_ITEMS = [(1, 1, "Hello", 700.0, False), (1, 2, "world", 700.5, False), (1, 3, "next", 690.0, False), (1, 4, "line", 690.0, True), (1, 5, "last", 688.0, False)]
-
-
-@query("select page, line, string_agg(str, ' ' order by seq) as text from (select *, sum(fresh) over (partition by page order by seq) as line from (select *, case when abs(y - lag(y) over w) > 2.5 or lag(eol) over w then 1 else 0 end as fresh from (values " + ", ".join(f"({p}, {s}, '{t}', {y}, {e})" for p, s, t, y, e in _ITEMS) + ") t(page, seq, str, y, eol) window w as (partition by page order by seq)) a) b group by page, line")
-def pdf_lines(spark, d):
-    w = W.partitionBy("page").orderBy("seq")
-    rows = spark.createDataFrame(_ITEMS, "page long, seq long, str string, y double, eol boolean")
-    fresh = F.when((F.abs(F.col("y") - F.lag("y").over(w)) > 2.5) | F.coalesce(F.lag("eol").over(w), F.lit(False)), 1).otherwise(0)
-    lines = rows.withColumn("fresh", fresh).withColumn("line", F.sum("fresh").over(w))
-    items = F.array_sort(F.collect_list(F.struct("seq", "str")))
-    return lines.groupBy("page", "line").agg(F.array_join(F.transform(items, lambda x: x["str"]), " ").alias("text"))
+# ---------------------------------------------------------------- lectures
 
 
 @query(f"with {_RANKED}, c as (select *, count(*) over (partition by q_id) as n from r), k as (select *, least(n, 8) as m from c where n <= 8 or (rank - 1) in (select floor(p * (n - 1) / 7.0 + 0.5) from range(8) t(p))) select q_id, doc_id, sha256(case when length(text) <= 1500 then text else {_cut_sql(1500).split('else ')[1].removesuffix(' end')} end) as cut_sha256 from (select q_id, doc_id, content as text from k) z")

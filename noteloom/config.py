@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 
@@ -21,7 +22,29 @@ class EngineConfig:
     debounce_ms: int = 1_400
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
+    only_sources: bool = True
+    chat_model: str = ""
+    lecture_model: str = ""
 
     @property
     def text_weight(self) -> float:
         return round(1 - min(1.0, max(0.0, self.vector_weight)), 2)
+
+    @property
+    def lecture_chunk_limit(self) -> int:
+        return _setting(self.lecture_chunks, 1, 12, 8)
+
+    @property
+    def lecture_char_limit(self) -> int:
+        return _setting(self.lecture_chars, 4_000, 30_000, 12_000)
+
+    @property
+    def history_char_limit(self) -> int:
+        return _setting(self.history_chars, 0, 12_000, 2_000, zero=True)
+
+
+def _setting(value: float, least: int, most: int, otherwise: int, zero: bool = False) -> int:
+    """A setting's whole part within limits; ``otherwise`` if it is no number or not positive (with ``zero``: negative)."""
+    if not math.isfinite(value) or math.trunc(value) < (0 if zero else 1):
+        return otherwise
+    return max(least, min(most, math.trunc(value)))

@@ -24,6 +24,14 @@ def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(MARKER), F.right(text, F.lit(room - head))))
 
 
+def truncate_to(text: Column, most: Column) -> Column:
+    """``truncate`` to a length of each row's own."""
+    room = most - len(MARKER)
+    head = F.ceil(room * 65 / 100).cast("int")
+    cut = F.concat(F.substring(text, F.lit(1), head), F.lit(MARKER), F.right(text, room - head))
+    return F.when(F.length(text) <= most, text).when(most <= 80, F.substring(text, F.lit(1), most)).otherwise(cut)
+
+
 def conversation_title(text: Column) -> Column:
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(t == "", "New chat").when(F.length(t) <= 48, t).otherwise(F.concat(F.substring(t, 1, 45), F.lit("...")))
@@ -32,13 +40,3 @@ def conversation_title(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
-def tags(text: Column) -> Column:
-    """Inline #tags, first seen first, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|\s)#([A-Za-z][\w/-]*)"), F.lit(1)))
-
-
-def links(text: Column) -> Column:
-    """Targets of [[wikilinks]] and ![[embeds]], first seen first, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), F.trim))

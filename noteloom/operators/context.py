@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 
 def budget(ranked: DataFrame, max_chunks: int, max_chars: int) -> DataFrame:
-    """ranked (q_id, rank, content): taken in order up to the first that would overflow; the first is always kept."""
+    """ranked (q_id, rank, content, or chars, its length): taken in order up to the first that would overflow; the first is always kept. n is the place, used the characters up to it.
+
+    Where texts are long, give chars instead of content and join the texts to what is kept."""
     w = W.partitionBy("q_id").orderBy("rank")
-    used = F.sum(F.length("content")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    n = F.row_number().over(w)
-    return ranked.withColumn("n", n).withColumn("used", used).filter((F.col("n") <= max_chunks) & ((F.col("n") == 1) | (F.col("used") <= max_chars)))
+    first = ranked.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_chunks)
+    chars = F.col("chars") if "chars" in ranked.columns else F.length("content")
+    used = F.sum(chars).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return first.withColumn("used", used).filter((F.col("n") == 1) | (F.col("used") <= max_chars))
 
 
 def even_sample(rows: DataFrame, keep: int) -> DataFrame:

@@ -22,25 +22,72 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig = EngineConfig(), places: int | None = None) -> DataFrame:
-    """questions (q_id, text), docs (id, content) to the best ``k`` per question: q_id, id, score, rank.
-
-    With ``places``, scores are rounded before they are ranked, so ties are those of the rounded scores.
-
-    Only postings of the questions' terms are kept, by a semi join before anything is counted.
+def corpus_stats(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, df, n, avgdl) of the questions' terms, from one pass over docs (id, content): each document gives its distinct terms and one empty
+    one, under which documents and their lengths are counted."""
+    t = docs.select(tokens(F.col("content")).alias("t"))
+    each = t.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
+    wanted = questions.select(F.explode(F.concat(tokens(F.col("text")), F.array(F.lit("")))).alias("term")).distinct()
+    counts = each.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl"))
+    corpus = counts.filter("term = ''").select(F.col("df").alias("n"), "avgdl")  # one row, or none of an empty table
+    return counts.filter("term <> ''").select("term", "df").join(F.broadcast(corpus))
+
+
+def bm25(questions: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig = EngineConfig(), places: int | None = None, within: Column | None = None) -> DataFrame:
+    """questions (q_id, text), docs (id, content, ...) to the best ``k`` per question: q_id, id, score, rank.
+
+    With ``places``, scores are rounded before they are ranked, so ties are those of the rounded scores. ``within`` restricts
+    the candidates, before any is scored, but not the statistics. Only the questions' terms are counted; each document's own counts are
+    summed where it lies, before the shuffle.
     """
-    n = docs.select("id", F.size(tokens(F.col("content"))).alias("dl"))
-    corpus = n.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = questions.select("q_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    post = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    candidates = docs if within is None else docs.filter(within)
+    post = postings(candidates.select("id", "content")).join(terms.select("term").distinct(), "term", "left_semi")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("dl") / F.col("avgdl")))
-    weights = df.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")  # corpus has one row
+    weights = corpus_stats(questions, docs).select("term", idf.alias("idf"), "avgdl")
     hits = terms.join(weights, "term").join(post, "term").groupBy("q_id", "id").agg(F.sum(F.col("idf") * tf).alias("score"))
     return top(rounded(hits, places), k)
 
 
+#: The fields of a chunk that are searched.
+FIELDS = ("source_search_name", "file_path", "file_name", "title", "heading", "section_number", "section_title", "content", "tags", "links", "properties")
+
+
+def near_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """terms (q_id, term), vocabulary (term) to (q_id, term): the terms of the vocabulary within one edit of a question's. Both sides are
+    joined on what is left when one letter goes (or none), so no pair is looked at that shares nothing, and the distance decides."""
+    cut = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+    left = terms.select("q_id", F.col("term").alias("asked"), F.explode(cut(F.col("term"))).alias("key"))
+    right = vocabulary.filter("term <> ''").select("term", F.explode(cut(F.col("term"))).alias("key"))
+    return left.join(right, "key").filter(F.levenshtein("asked", "term") <= 1).select("q_id", "term").distinct()
+
+
+def fielded(questions: DataFrame, rows: DataFrame, k: int, fields: tuple[str, ...] = FIELDS, tolerance: int = 0, cfg: EngineConfig = EngineConfig(), places: int | None = None, within: Column | None = None) -> DataFrame:
+    """BM25 over several fields of ``rows`` (id and the fields, texts or arrays of texts): each field has statistics of its own and the scores are summed.
+    With ``tolerance`` 1, terms within one edit count as well."""
+    texts = [F.struct(F.lit(f).alias("field"), tokens(F.array_join(f, " ") if rows.schema[f].dataType.typeName() == "array" else F.col(f)).alias("t")) for f in fields]
+    flat = rows.select("id", F.coalesce(within if within is not None else F.lit(True), F.lit(False)).alias("inside"), F.explode(F.array(*texts)).alias("x")).select("id", "inside", "x.field", F.coalesce("x.t", F.array().cast("array<string>")).alias("t"))
+    terms = questions.select("q_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    if tolerance:
+        terms = near_terms(terms, flat.select(F.explode("t").alias("term")).distinct())
+    wanted = terms.select("term").distinct()
+    stats = flat.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    counts = flat.select("id", "inside", "field", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "inside", "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = counts.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weights = df.join(F.broadcast(stats), "field")  # as many rows as fields
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("dl") / F.col("avgdl")))
+    hits = counts.filter("inside").join(weights, ["field", "term"]).join(terms, "term").groupBy("q_id", "id").agg(F.sum(idf * tf).alias("score"))
+    return top(rounded(hits, places), k)
+
+
+def distinct_sources(hits: DataFrame) -> DataFrame:
+    """The best hit of each source: hits (q_id, rank, path, ...) to one row for each q_id and path."""
+    rest = [c for c in hits.columns if c not in ("q_id", "path")]
+    return hits.groupBy("q_id", "path").agg(F.min_by(F.struct(*rest), "rank").alias("r")).select("q_id", "path", "r.*")
+
+
 def rounded(hits: DataFrame, places: int | None) -> DataFrame:
     return hits if places is None else hits.withColumn("score", F.round("score", places))
 
@@ -55,8 +102,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: str, b: str) -> Column:
-    return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
+def unit(vector: Column) -> Column:
+    """A vector divided by its length, in double precision; the zero vector has no direction and is null."""
+    norm = F.sqrt(dot(vector, vector))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
 
 
 def question_blocks(questions: DataFrame, each: int = 4096) -> Iterator[DataFrame]:
@@ -72,8 +121,9 @@ def vector_matches(questions: DataFrame, vectors: DataFrame, max_questions: int
     The question set is a stated query set; it is read in blocks of about ``max_questions``, and each block is sent to all tasks.
     """
     out = None
-    for part in question_blocks(questions.select("q_id", F.col("vec").alias("q_vec")), max_questions):
-        hits = vectors.join(F.broadcast(part)).select("q_id", "id", cosine("q_vec", "vec").alias("score"))
+    units = vectors.select("id", unit(F.col("vec")).alias("u"))  # once for each vector, not for each pair
+    for part in question_blocks(questions.select("q_id", unit(F.col("vec")).alias("q")), max_questions):
+        hits = units.join(F.broadcast(part)).select("q_id", "id", dot(F.col("q"), F.col("u")).alias("score"))
         out = hits if out is None else out.unionByName(hits)
     return out
 

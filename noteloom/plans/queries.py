@@ -10,10 +10,10 @@ from ..config import EngineConfig
 from ..functions import codec
 from ..functions import names as N
 from ..functions import text as T
-from ..operators import catalog, chunk, context, index, search
+from ..operators import chunk, context, index, search
 from ..sources.files import documents_as_sources, indexable, table
 from ..streaming import events as feed
-from . import paged, resolution  # noqa: F401  these register their queries too
+from . import answers, paged, resolution, upkeep  # noqa: F401  these register their queries too
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 CFG = EngineConfig()
@@ -55,12 +55,6 @@ def no_text_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n")).filter("n < 20")
 
 
-@query("select event_id, json_extract_string(props, '$.' || k) as value, k as key from (select event_id, props, unnest(json_keys(props)) as k from events) t")
-def meta_props(spark, d):
-    e = table(spark, d, "events").select("event_id", F.explode(F.json_object_keys("props")).alias("key"), "props")
-    return e.select("event_id", F.element_at(F.from_json("props", "map<string,string>"), F.col("key")).alias("value"), "key")
-
-
 # ---------------------------------------------------------------- chunking
 
 
@@ -79,7 +73,7 @@ def portable_objects(spark, d):
 # ---------------------------------------------------------------- search
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-_POST = f"t as (select doc_id as id, unnest({_TOK.format('text')}) as term, len({_TOK.format('text')}) as dl from documents), p as (select id, term, count(*) as tf, any_value(dl) as dl from t group by id, term)"
+_POST = f"w as (select doc_id as id, {_TOK.format('text')} as ws from documents), t as (select id, unnest(ws) as term, len(ws) as dl from w), p as (select id, term, count(*) as tf, any_value(dl) as dl from t group by id, term)"
 
 
 @query(f"with {_POST} select term, count(*) as df, cast(sum(tf) as bigint) as cf from p group by term")
@@ -88,7 +82,7 @@ def term_stats(spark, d):
 
 
 _BM25 = (
-    f"{_POST}, s as (select count(*) as n, avg(len({_TOK.format('text')})) as avgdl from documents), df as (select term, count(*) as df from p group by term), "
+    f"{_POST}, s as (select count(*) as n, avg(len(ws)) as avgdl from w), df as (select term, count(*) as df from p group by term), "
     f"q as (select distinct item_id as q_id, unnest({_TOK.format('text')}) as term from benchmark where item_id % 100 = 0), "
     "h as (select q.q_id, p.id, sum(ln(1 + (s.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avgdl))) as score from q join p using (term) join df using (term), s group by q.q_id, p.id)"
 )
@@ -105,9 +99,21 @@ def bm25_search(spark, d):
 
 @query(f"with {_BM25}, r as (select q_id, id, round(score, 6) as score from h join documents on doc_id = id where source = 'src1') select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from r qualify rank <= 6")
 def search_source_restricted(spark, d):
-    docs = table(spark, d, "documents").filter("source = 'src1'").select(F.col("doc_id").alias("id"))
-    hits = search.bm25(_questions(spark, d), _docs(spark, d), 1 << 30)
-    return _rounded(hits.join(docs, "id", "left_semi"), 6)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    return search.bm25(_questions(spark, d), docs, 6, places=6, within=F.col("source") == "src1").select("q_id", "id", "score", "rank")
+
+
+@query(
+    f"with d as (select doc_id as id, string_split(text, chr(10))[1] as heading, text as content, [lang, source] as tags from documents), x as (select id, 'heading' as field, {_TOK.format('heading')} as t from d union all select id, 'content', {_TOK.format('content')} from d union all select id, 'tags', {_TOK.format("array_to_string(tags, ' ')")} from d), "
+    "st as (select field, count(*) as n, avg(len(coalesce(t, []))) as avgdl from x group by field), p as (select id, field, term, count(*) as tf, any_value(dl) as dl from (select id, field, unnest(t) as term, len(t) as dl from x) z group by id, field, term), df as (select field, term, count(*) as df from p group by field, term), "
+    f"q0 as (select distinct item_id as q_id, unnest({_TOK.format('text')}) as a from benchmark where item_id % 100 = 0 and item_id < 100), q as (select distinct q_id, v.term from q0 join (select distinct term from p) v on abs(length(v.term) - length(a)) <= 1 and levenshtein(v.term, a) <= 1), "
+    "h as (select q_id, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) as score from q join p using (term) join df using (field, term) join st using (field) where id % 3 > 0 group by q_id, p.id) "
+    "select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from h qualify rank <= 8"
+)
+def fielded_search(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("heading"), F.col("text").alias("content"), F.array("lang", "source").alias("tags"))
+    asked = _questions(spark, d).filter("q_id < 100")
+    return search.fielded(asked, rows, 8, ("heading", "content", "tags"), tolerance=1, places=5, within=F.col("id") % 3 > 0).select("q_id", "id", "score", "rank")
 
 
 _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double))) / sqrt(list_sum(list_transform(a.embedding, lambda z: cast(z as double) * cast(z as double))) * list_sum(list_transform(b.embedding, lambda z: cast(z as double) * cast(z as double))))"
@@ -149,6 +155,23 @@ def hybrid_search(spark, d):
     return _rounded(search.fuse(lexical, vector, 1 << 30).select("q_id", "id", "score"), 8)
 
 
+@query(
+    f"with {_BM25}, {_VEC}, s1 as (select doc_id as id from documents where source = 'src1'), lt as (select q_id, id, round(score, 6) as score from h where id in (select id from s1) qualify row_number() over (partition by q_id order by round(score, 6) desc, id) <= 50), "
+    "lv as (select q_id, id, score from v where score >= 0.1 and id in (select id from s1) qualify row_number() over (partition by q_id order by score desc, id) <= 50), "
+    "a as (select q_id, id, score / max(score) over (partition by q_id) as t from lt), b as (select q_id, id, score / max(score) over (partition by q_id) as v from lv), "
+    "f as (select coalesce(a.q_id, b.q_id) as q_id, coalesce(a.id, b.id) as id, round(0.45 * coalesce(t, 0) + 0.55 * coalesce(v, 0), 6) as score from a full outer join b on a.q_id = b.q_id and a.id = b.id) "
+    "select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from f qualify rank <= 6"
+)
+def hybrid_source_restricted(spark, d):
+    """Both lists are restricted to the source before anything is scored."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    own = docs.filter("source = 'src1'").select("id")
+    lexical = search.bm25(_questions(spark, d), docs, 50, places=6, within=F.col("source") == "src1")
+    q, v = _vectors(spark, d)
+    vector = search.vector_search(q, v.join(own, "id", "left_semi"), 50, 0.1, places=6)
+    return _rounded(search.fuse(lexical, vector, 1 << 30).select("q_id", "id", "score"), 6)
+
+
 @query("select doc_id, source, lang from documents where doc_id in (select vec_id from embeddings where label = 3)")
 def chunks_by_id(spark, d):
     ids = table(spark, d, "embeddings").filter("label = 3").select(F.col("vec_id").alias("doc_id"))
@@ -161,13 +184,17 @@ _RANKED = "r as (select source as q_id, doc_id, text as content, row_number() ov
 
 
 def _ranked(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("q_id"), "doc_id", F.col("text").alias("content"))
-    return docs.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("doc_id")))
+    """The rows to choose from, with lengths instead of texts; a document's id is its rank."""
+    return table(spark, d, "documents").select(F.col("source").alias("q_id"), "doc_id", F.col("doc_id").alias("rank"), F.length("text").alias("chars"))
+
+
+def _texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
 
 
 @query(f"with {_RANKED}, u as (select *, sum(length(content)) over (partition by q_id order by rank rows unbounded preceding) as used from r) select q_id, doc_id, rank, cast(used as bigint) as used from u where rank <= 6 and (rank = 1 or used <= 18000)")
 def context_budget(spark, d):
-    return context.budget(_ranked(spark, d), CFG.context_chunks, CFG.context_chars).select("q_id", "doc_id", F.col("rank").cast("long").alias("rank"), "used")
+    return context.budget(_ranked(spark, d), CFG.context_chunks, CFG.context_chars).select("q_id", "doc_id", F.col("n").cast("long").alias("rank"), "used")
 
 
 @query(f"with {_RANKED}, c as (select *, count(*) over (partition by q_id) as n from r) select q_id, doc_id from c where n <= 8 or (rank - 1) in (select floor(p * (n - 1) / 7.0 + 0.5) from range(8) t(p))")
@@ -180,8 +207,8 @@ def even_sample(spark, d):
     "select q_id, sha256(string_agg('[' || rank || '] ' || doc_id || ' - Document' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)) as context_sha256, count(*) as n_chunks from k group by q_id"
 )
 def rag_context(spark, d):
-    kept = context.budget(_ranked(spark, d), CFG.context_chunks, CFG.context_chars).withColumn("path", F.col("doc_id").cast("string")).withColumn("heading", F.lit("Document"))
-    return context.assemble(kept).select("q_id", F.sha2("context", 256).alias("context_sha256"), "n_chunks")
+    kept = context.budget(_ranked(spark, d), CFG.context_chunks, CFG.context_chars).join(_texts(spark, d), "doc_id")
+    return context.assemble(kept.withColumn("path", F.col("doc_id").cast("string")).withColumn("heading", F.lit("Document"))).select("q_id", F.sha2("context", 256).alias("context_sha256"), "n_chunks")
 
 
 _CUT = "case when length(text) <= {m} then text else substr(text, 1, {h}) || chr(10) || chr(10) || '[... middle of the text left out here ...]' || chr(10) || right(text, {t}) end"
@@ -227,21 +254,6 @@ def conv_history_clean(spark, d):
     return table(spark, d, "conversations").withColumn("request_state", state).filter("request_state <> 'error'").select("conv_id", "turn", "role")
 
 
-@query(f"select conv_id, turn, sha256({_cut_sql(1000)}) as cut_sha256 from conversations where role <> 'system' qualify row_number() over (partition by conv_id order by turn desc) <= 2")
-def generation_history(spark, d):
-    rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").desc()))
-    last = table(spark, d, "conversations").filter("role <> 'system'").withColumn("k", rank).filter("k <= 2")
-    return last.select("conv_id", "turn", F.sha2(T.truncate(F.col("text"), CFG.history_chars // 2), 256).alias("cut_sha256"))
-
-
-@query("select conv_id, sha256(string_agg(text, chr(10) order by turn)) as query_sha256 from (select * from conversations where role = 'user' qualify row_number() over (partition by conv_id order by turn desc) <= 2) x group by conv_id")
-def retrieval_query(spark, d):
-    rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").desc()))
-    last = table(spark, d, "conversations").filter("role = 'user'").withColumn("k", rank).filter("k <= 2")
-    texts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return last.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(texts, lambda x: x["text"]), "\n"), 256).alias("query_sha256"))
-
-
 # ---------------------------------------------------------------- index maintenance
 
 
@@ -343,15 +355,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return context.budget(ranked, CFG.context_chunks, CFG.context_chars)
 
 
-# ---------------------------------------------------------------- lectures
-
-
-@query(f"with {_RANKED}, c as (select *, count(*) over (partition by q_id) as n from r), k as (select *, least(n, 8) as m from c where n <= 8 or (rank - 1) in (select floor(p * (n - 1) / 7.0 + 0.5) from range(8) t(p))) select q_id, doc_id, sha256(case when length(text) <= 1500 then text else {_cut_sql(1500).split('else ')[1].removesuffix(' end')} end) as cut_sha256 from (select q_id, doc_id, content as text from k) z")
-def lecture_budget(spark, d):
-    kept = context.even_sample(_ranked(spark, d), CFG.lecture_chunks)
-    return kept.select("q_id", "doc_id", F.sha2(T.truncate(F.col("content"), CFG.lecture_chars // CFG.lecture_chunks), 256).alias("cut_sha256"))
-
-
 # ---------------------------------------------------------------- codec, maths, catalogue
 
 
@@ -361,19 +364,11 @@ def f32_codec(spark, d):
     return e.select("vec_id", codec.decode_f32("encoded").alias("embedding"))
 
 
-_MATHS = [(1, r"a \(x\) b", "a $x$ b"), (2, r"\[y\]", "$$y$$"), (3, r"`\(x\)` \(z\)", r"`\(x\)` $z$"), (4, r"\\(x\\)", r"\\(x\\)"), (5, "``` \n\\(x\\)\n```\n\\(y\\)", "``` \n\\(x\\)\n```\n$y$"), (6, r"`\(open", r"`\(open")]
+_PLAIN = "regexp_replace(coalesce(text, ''), '[\\\\`$~]', '', 'g')"
 
 
-@query("select * from (values " + ", ".join("({}, '{}')".format(i, w) for i, _, w in _MATHS) + ") t(id, text)")
+@query(f"select doc_id, sha256({_PLAIN} || chr(10) || 'a $x' || doc_id || '$ b $$y$$ `\\(c\\)` \\\\(d\\\\)' || chr(10) || '```' || chr(10) || '\\(e\\)' || chr(10) || '```' || chr(10) || '$f$' || {_PLAIN}) as text_sha256 from documents")
 def math_delimiters(spark, d):
-    return spark.createDataFrame([m[:2] for m in _MATHS], "id int, text string").select("id", codec.normalize_math("text").alias("text"))
-
-
-_MODELS = [("m10", ["completion"]), ("M2", ["completion", "tools"]), ("e1", ["embedding"]), ("old", None), ("m10", ["completion"])]
-
-
-@query("select * from (values ('generation', 'M2', 0), ('generation', 'm10', 1), ('generation', 'old', 2), ('embedding', 'e1', 0), ('embedding', 'old', 1)) t(purpose, name, place)")
-def model_catalog(spark, d):
-    models = spark.createDataFrame(_MODELS, "name string, capabilities array<string>")
-    both = [catalog.models_for(models, p).select(F.lit(p).alias("purpose"), "name", "place") for p in ("generation", "embedding")]
-    return both[0].unionByName(both[1])
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\\`$~]", "")
+    made = F.concat(plain, F.lit("\na \\(x"), F.col("doc_id").cast("string"), F.lit("\\) b \\[y\\] `\\(c\\)` \\\\(d\\\\)\n```\n\\(e\\)\n```\n\\(f\\)"), plain)
+    return table(spark, d, "documents").select("doc_id", made.alias("made")).select("doc_id", F.sha2(codec.normalize_math("made"), 256).alias("text_sha256"))

@@ -1,4 +1,4 @@
-"""Reading notes and tables, and writing index snapshots behind a pointer file."""
+"""Reading notes and tables."""
 
 from __future__ import annotations
 
@@ -16,6 +16,11 @@ def indexable(files: DataFrame, index_pdf: bool = True) -> DataFrame:
     return files.filter(ext.isin(*(["md", "pdf"] if index_pdf else ["md"])))
 
 
+def pruned(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Entries (path) whose file is still listed."""
+    return entries.join(files.select("path").distinct(), "path", "left_semi")
+
+
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """path, text and mtime of the Markdown files below a folder."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
@@ -24,14 +29,3 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents_as_sources(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
-
-
-def save_snapshot(index: DataFrame, root: str, snapshot: str) -> None:
-    """Writes a snapshot, then the pointer that names it; readers never see a half-written one."""
-    index.write.mode("overwrite").parquet(f"{root}/snapshot={snapshot}")
-    index.sparkSession.createDataFrame([(snapshot,)], "snapshot string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
-
-
-def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    name = spark.read.schema("snapshot string").json(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/snapshot={name}")

@@ -6,8 +6,8 @@ anchor. Equal windows have equal anchors at the same place, so windows need be c
 an anchor's group. Consecutive windows with one anchor form a slice.
 
 1. One pass counts anchors; a second keeps the slices of anchors that occur more than once.
-2. Slices with equal content are counted together; only one of each content goes on. All windows of a
-   slice that occurs twice are repeated.
+2. Slices with equal content are counted together, first within a batch of texts; only one of each content
+   goes on. All windows of a slice that occurs twice are repeated; each batch that holds it hears so once.
 3. Distinct slices that share an anchor are sent to one task, which sorts the suffixes that start in
    their windows, takes longest common prefixes of neighbours, and finds for each suffix, by the
    previous and next smaller positions in suffix order, the longest previous factor (and the longest
@@ -24,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, U64, binary_array, mix, partitions_for, ragged, row_slices, runs, signed, utf8
 
-PLACE = U64((1 << 28) - 1)
+#: Places in a buffer take 31 bits, as many as a text in Spark can have; the hash keeps the other 33.
+PLACE = U64((1 << 31) - 1)
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -67,22 +69,64 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> tu
     return g[anchor], content, doc[first], lo - offsets[doc[first]], count
 
 
+PLACES = "array<struct<doc_id:long,row_key:long,start:int,n:int>>"
+
+
 def slices_of(docs: DataFrame, length: int, gram: int, full: bool) -> DataFrame:
-    """docs: row_key, doc_id, text (binary). Without ``full``: key and n, the anchors counted within each batch."""
+    """docs: row_key, doc_id, text (binary). Without ``full``: key and n, the anchors counted within each batch. With it:
+    a row for each distinct content of a batch (batch, key, content, places), however often it stands there."""
+    place = pa.struct([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in row_slices(batch, "text", 2 << 20):
                 offsets, data = utf8(part.column(2))
                 key, content, doc, start, count = anchors(offsets, data, length, gram)
                 if full:
+                    order = np.lexsort((content, key))
+                    key, content, doc, start, count = (x[order] for x in (key, content, doc, start, count))
+                    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))) if len(key) else np.zeros(0, np.int64)
                     own = pa.array(doc, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(content)), part.column(0).take(own), part.column(1).take(own), pa.array(start, pa.int32()), pa.array(count, pa.int32())], names=["key", "content", "row_key", "doc_id", "start", "n"])
+                    places = pa.StructArray.from_arrays([part.column(1).take(own), part.column(0).take(own), pa.array(start, pa.int32()), pa.array(count, pa.int32())], fields=list(place))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), places)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), number)), pa.array(signed(key[first])), pa.array(signed(content[first])), lists], names=["batch", "key", "content", "places"])
+                    number += 1
                 else:
                     k, n = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    return docs.mapInArrow(run, "key long, content long, row_key long, doc_id long, start int, n int" if full else "key long, n long")
+    return docs.mapInArrow(run, f"batch long, key long, content long, places {PLACES}" if full else "key long, n long")
+
+
+def joined_spans(members: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """row_key and spans (array of struct(lo, hi)), from whole slices (batch, places, first). Neighbours make one span, so that there is a row for each
+    text of a batch, not for each slice. With ``keep_first`` the place ``first`` stays out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        lists = t.column("places").combine_chunks()
+        flat = lists.flatten()
+        row, start, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+        if keep_first:
+            each = np.diff(lists.offsets.to_numpy())
+            first = t.column("first").combine_chunks()
+            on = np.zeros(len(row), bool)
+            for i in range(3):
+                on |= flat.field(i).to_numpy(zero_copy_only=False) != np.repeat(first.field(i).to_numpy(zero_copy_only=False), each)
+            row, start, n = row[on], start[on], n[on]
+        order = np.lexsort((start, row))
+        row, lo, hi = row[order], start[order], (start + n - 1 + length)[order]
+        # Slices of one text stand in order and those of one length of windows end in order too.
+        new = np.append(True, (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])) if len(row) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        top = np.maximum.reduceat(hi, begin) if len(begin) else hi
+        row, lo = row[begin], lo[begin]
+        text = runs(row)
+        spans = pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(top, pa.int64())], ["lo", "hi"])
+        return pa.table({"row_key": pa.array(row[text], pa.int64()), "spans": pa.ListArray.from_arrays(pa.array(np.append(text, len(row)), pa.int32()), spans)})
+
+    return members.groupBy("batch").applyInArrow(run, "row_key long, spans array<struct<lo:long,hi:long>>")
 
 
 def previous_smaller(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,17 +204,14 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: boo
     scratch.release()
     got = scratch.save("slices", slices_of(src, length, gram, True).join(often, "key"))
     scratch.release()
-    place = F.struct("doc_id", "row_key", "start")
-    distinct = scratch.save("distinct", got.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.min("n").alias("n")))
+    least = F.min(F.array_min("places"))  # by doc_id, row_key, start
+    distinct = scratch.save("distinct", got.groupBy("key", "content").agg(F.sum(F.size("places")).alias("times"), least.alias("first")))
     shared = distinct.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y")).filter("x <> y").select("key")
     shared = scratch.save("shared", shared)
     twice = distinct.filter("times > 1").select("key", "content", "first")
-    members = got.join(twice, ["key", "content"])
-    if keep_first:
-        members = members.filter(place != F.col("first"))
-    whole = members.select("row_key", F.struct(F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n") - 1 + length).cast("long").alias("hi")).alias("span"))
+    whole = joined_spans(got.join(twice, ["key", "content"]).select("batch", "places", "first"), length, keep_first)
     # Slices to be sorted: one of each content, of anchors with several contents.
-    picked = distinct.join(shared, "key").select(F.col("first.row_key").alias("row_key"), F.struct("key", F.col("first.start").alias("start"), "n").alias("s"))
+    picked = distinct.join(shared, "key").select(F.col("first.row_key").alias("row_key"), F.struct("key", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("s"))
     picked = scratch.save("picked", picked.groupBy("row_key").agg(F.collect_list("s").alias("s"), F.sum(F.col("s.n") + length).alias("bytes")))
     total = picked.agg(F.sum("bytes")).first()[0] or 0
     scratch.release()
@@ -219,13 +260,16 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: boo
         s = owner[begin]
         lo = start[by][s] + inside[begin]
         hi = start[by][s] + inside[stop] + length
+        # A row for each text: slices are in order of their texts.
+        row = row[by][s]
+        first = runs(row)
         span = pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["lo", "hi"])
-        yield pa.RecordBatch.from_arrays([pa.array(row[by][s]), span], names=["row_key", "span"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), span)], names=["row_key", "spans"])
 
     tasks = partitions_for(total, 4 << 20)
-    sorted_ = bytes_.repartition(tasks, "key").mapInArrow(sort, "row_key long, span struct<lo:long,hi:long>")
+    sorted_ = bytes_.repartition(tasks, "key").mapInArrow(sort, "row_key long, spans array<struct<lo:long,hi:long>>")
     found = whole.unionByName(sorted_)
-    spans = scratch.save("spans", found.groupBy("row_key").agg(F.collect_set("span").alias("spans")))
+    spans = scratch.save("spans", found.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     scratch.release()
     return spans
 
@@ -238,7 +282,9 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: bool
     without it all go. With ``whole_characters`` a character goes whole if any of its bytes does, so that kept is a
     text again. Null and empty texts, and those under ``length`` bytes, stay as they are. Rows that
     share doc_id and text count as one for ``keep_first`` and as copies of each other without it. Null doc_id
-    comes last. Empty table: no rows. Memory: a document, or 4 MiB of distinct slices.
+    comes last. Empty table: no rows. Memory: a document of up to 2 GiB, as Arrow and Spark hold it; or a batch's repeated slices; or
+    about 4 MiB of distinct slices, more where one anchor has more slices of different content, all of which
+    are sorted in one task.
     """
     keep = ["doc_id"] if keep is None else keep
     names = [c for c in docs.columns if c in keep]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import sections as X
 from ..functions.text import strip_frontmatter
 from ..operators import chunk, citations, paged
-from ..sources.files import table
+from ..sources.files import spread, table
 from .registry import query
 
 # ---------------------------------------------------------------- inputs
@@ -48,13 +48,13 @@ def _between_sql(kinds: tuple[tuple[str, ...], ...]) -> str:
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return docs.select("doc_id", path.alias("path"), F.concat(F.lit("---\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n"), F.array_join(_between(_NOTE_LINES, F.col("text")), "\n")).alias("text"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), _between(_PAGE_LINES, F.col("text")).alias("all"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), _between(_PAGE_LINES, F.col("text")).alias("all"))
     last = F.floor((F.size("all") - 1) / LINES_A_PAGE).cast("int")
     page = F.transform(F.sequence(F.lit(0), last), lambda p: F.struct((p + 1).alias("page_number"), F.slice(F.col("all"), p * LINES_A_PAGE + 1, F.lit(LINES_A_PAGE)).alias("lines")))
     return docs.select("doc_id", "path", page.alias("pages"))
@@ -223,7 +223,7 @@ _PIECES_SQL = "w as (select doc_id, string_split(coalesce(text, ''), ' ') as ws
 def pieces(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(F.coalesce("text", F.lit("")), " ")
     piece = lambda s, i: F.struct(F.when(i % 9 == 8, "").when(i % 13 == 5, "(").when(i % 13 == 6, F.concat(s, F.lit("-"))).otherwise(s).alias("str"), (700 - 12.0 * F.floor(i / 7) + i % 2).cast("double").alias("y"), ((i % 5 == 4) & (i % 3 == 0)).alias("eol"))
-    return table(spark, d, "documents").select("doc_id", F.transform(words, piece).alias("items"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.transform(words, piece).alias("items"))
 
 
 _BREAKS = "[\\s\\x{a0}\\x{feff}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"

@@ -11,7 +11,7 @@ from ..functions import codec
 from ..functions import names as N
 from ..functions import text as T
 from ..operators import chunk, context, index, search
-from ..sources.files import documents_as_sources, indexable, table
+from ..sources.files import documents_as_sources, indexable, spread, table
 from ..streaming import events as feed
 from . import answers, paged, resolution, upkeep  # noqa: F401  these register their queries too
 from .registry import ORACLE, QUERIES, query  # noqa: F401
@@ -24,11 +24,11 @@ def r6(c: Column) -> Column:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return documents_as_sources(table(spark, d, "documents"))
+    return documents_as_sources(spread(table(spark, d, "documents")))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def bm25_search(spark, d):
 
 @query(f"with {_BM25}, r as (select q_id, id, round(score, 6) as score from h join documents on doc_id = id where source = 'src1') select q_id, id, score, cast(row_number() over (partition by q_id order by score desc, id) as int) as rank from r qualify rank <= 6")
 def search_source_restricted(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
     return search.bm25(_questions(spark, d), docs, 6, places=6, within=F.col("source") == "src1").select("q_id", "id", "score", "rank")
 
 
@@ -121,7 +121,7 @@ _VEC = f"v as (select a.vec_id as q_id, b.vec_id as id, round({_COS}, 6) as scor
 
 
 def _vectors(spark, d):
-    e = table(spark, d, "embeddings")
+    e = spread(table(spark, d, "embeddings"))
     return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
@@ -164,7 +164,7 @@ def hybrid_search(spark, d):
 )
 def hybrid_source_restricted(spark, d):
     """Both lists are restricted to the source before anything is scored."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
     own = docs.filter("source = 'src1'").select("id")
     lexical = search.bm25(_questions(spark, d), docs, 50, places=6, within=F.col("source") == "src1")
     q, v = _vectors(spark, d)

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that a scan would leave to fewer tasks than there are cores, as of one small file, are dealt to all; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def indexable(files: DataFrame, index_pdf: bool = True) -> DataFrame:
     """files (path): .md always, .pdf if asked for; case does not matter."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))

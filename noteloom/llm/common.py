@@ -6,9 +6,11 @@ Executors may be lost at any time, so intermediates that cut lineage are written
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,10 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that a scan would leave to fewer tasks than there are cores, as of one small file, are dealt to all; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
+    """The cluster's checkpoint folder. Without one, a folder of this machine serves a session that runs on this machine alone, as in tests; on a cluster it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="noteloom-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -44,6 +54,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/noteloom-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.saved = 0
+        atexit.register(self.clear)
 
     def save(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         """With ``by``, rows lie in a folder for each value of that column, which ``drop`` takes as name/column=value."""
@@ -64,7 +75,14 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
         self.release()
 
+    def clear(self) -> None:
+        """Deletes all that is left; results that are read later fail. Called when the driver ends."""
+        with contextlib.suppress(Exception):
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def release(self) -> None:
+        """Lets Spark notice that plans are done with, so that its cleaner frees their shuffles; results do not depend on it."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

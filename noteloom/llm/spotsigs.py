@@ -34,15 +34,18 @@ def fingerprinted(rows: DataFrame, text: str, out: str) -> DataFrame:
 
     Words are runs of letters and digits in lower case. They are joined by single spaces, and each
     common word is glued to what follows, so that splitting at spaces gives content words with the
-    common words before them; a signature is such a token with the content word of the next.
-    A text without any signature gets one over all its words; one without words gets none.
+    common words before them; each of these common words gives a signature of its own, with this content word and
+    that of the next token. A text without any signature gets one over all its words; one without words gets none.
+    Null is an empty text; a text of any length is one row's array. Of ``rows`` all columns stay but those named _plain, _tokens and _spots.
     """
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     glued = F.regexp_replace(F.col("_plain"), f"(?<= )({'|'.join(ANCHORS)}) ", f"$1{_GLUE}")
     rows = rows.withColumn("_plain", plain).withColumn("_tokens", F.split(F.trim(glued), " "))
     content = lambda x: F.substring_index(x, _GLUE, -1)
-    spot = lambda x, y: F.when(F.contains(x, F.lit(_GLUE)), F.xxhash64(F.substring_index(x, _GLUE, -CHAIN), content(F.coalesce(y, F.lit("")))))
-    spots = F.array_compact(F.zip_with("_tokens", F.slice("_tokens", 2, F.greatest(F.size("_tokens"), F.lit(1))), spot))
+    chain = lambda x, y: F.concat(content(x), F.lit(" "), content(F.coalesce(y, F.lit(""))))
+    anchors = lambda x: F.split(F.substring(x, F.lit(1), F.length(x) - F.length(content(x)) - 1), _GLUE)
+    spot = lambda x, y: F.when(F.contains(x, F.lit(_GLUE)), F.transform(anchors(x), lambda z: F.xxhash64(z, chain(x, y))))
+    spots = F.flatten(F.array_compact(F.zip_with("_tokens", F.slice("_tokens", 2, F.greatest(F.size("_tokens"), F.lit(1))), spot)))
     rows = rows.withColumn("_spots", F.array_sort(F.array_distinct(spots)))
     whole = F.when(F.trim("_plain") == "", F.array().cast("array<long>")).otherwise(F.array(F.xxhash64("_plain")))
     return rows.withColumn(out, F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(whole)).drop("_plain", "_tokens", "_spots")
@@ -112,19 +115,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     Texts with equal fingerprints form a class, named by its smallest doc_id, so copies are never paired.
     Representatives are partitioned by fingerprint length; a pair can reach the threshold only if its
     lengths fall into the same or the next partition and it shares one of the first signatures of each.
-    Documents without words belong to no class.
+    Documents without words, null or blank ones too, belong to no class. Rows that share a doc_id may be in several classes;
+    a null doc_id names none, but takes part. Empty table: no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.save("prints", fingerprinted(docs.select("doc_id", "text"), "text", "sig").select("doc_id", "sig", F.xxhash64("sig").alias("h1"), F.sha2(printed("sig"), 256).alias("h2")).filter(F.size("sig") > 0))
-    classes = scratch.save("classes", prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id")))
-    members = prints.join(classes, ["h1", "h2"]).select("doc_id", "class_id")
-    reps = scratch.save("reps", prints.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sig", F.size("sig").alias("n")))
+    prints = scratch.save("prints", fingerprinted(docs.select("doc_id", "text"), "text", "sig").filter(F.size("sig") > 0).select("doc_id", "sig", F.sha2(printed("sig"), 256).alias("h")))
+    classes = scratch.save("classes", prints.groupBy("h").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig")))
+    members = prints.select("doc_id", "h").join(classes.select("h", "class_id"), "h").select("doc_id", "class_id")
+    reps = classes.select("h", "sig", F.size("sig").alias("n"))
     n = F.col("n")
     head = F.slice("sig", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
-    keys = reps.withColumn("p", F.floor(F.log(n) / math.log(1 / threshold)).cast("int")).select("id", "n", "p", F.explode(head).alias("s"))
+    keys = reps.withColumn("p", F.floor(F.log(n) / math.log(1 / threshold)).cast("int")).select("h", "n", "p", F.explode(head).alias("s"))
     near = keys.withColumn("p", F.explode(F.array("p", F.col("p") + 1)))
-    a, b = (keys.select("s", "p", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n")]) if x == "a" else near.select("s", "p", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n")]) for x in "ab")
-    fits = (F.col("n_b") <= F.col("n_a")) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9) & (F.col("id_a") != F.col("id_b"))
-    pairs = a.join(b, ["s", "p"]).filter(fits).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    both = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", likeness("sa", "sb").alias("likeness")).filter(F.col("likeness") >= threshold), members
+    a, b = (df.select("s", "p", *[F.col(c).alias(f"{c}_{x}") for c in ("h", "n")]) for x, df in (("a", keys), ("b", near)))
+    fits = (F.col("n_b") <= F.col("n_a")) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9) & (F.col("h_a") != F.col("h_b"))
+    pairs = a.join(b, ["s", "p"]).filter(fits).select(F.least("h_a", "h_b").alias("l"), F.greatest("h_a", "h_b").alias("r")).distinct()
+    side = lambda x: classes.select(F.col("h").alias(x), F.col("sig").alias(f"s{x}"), F.col("class_id").alias(f"c{x}"))
+    both = pairs.join(side("l"), "l").join(side("r"), "r").withColumn("likeness", likeness("sl", "sr")).filter(F.col("likeness") >= threshold)
+    return both.select(F.least("cl", "cr").alias("a"), F.greatest("cl", "cr").alias("b"), "likeness"), members

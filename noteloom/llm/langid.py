@@ -22,7 +22,7 @@ from .common import LOWER, Scratch, row_slices, utf8
 
 BUCKETS = 1 << 15
 LANGS_BOUND = 512
-TAGS = re.compile(rb"<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>|&[#\w]+;", re.S | re.I)
+TAGS = re.compile(rb"<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<!--.*?(?:-->|$)|<[^<>]*>|&[#\w]+;", re.S | re.I)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -47,7 +47,9 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 langs = part.column(0).dictionary_encode()
                 code = langs.indices.to_numpy(zero_copy_only=False)
                 g = grams(data)
-                owner = np.repeat(code, np.diff(offsets))[: len(g)]
+                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                inside = row[:-2] == row[2:]  # no trigram runs from one text into the next
+                g, owner = g[inside], code[row[:-2][inside]]
                 for k, name in enumerate(langs.dictionary.to_pylist()):
                     sums[name] = sums.get(name, 0) + np.bincount(g[owner == k], minlength=BUCKETS)
         for name, c in sums.items():
@@ -100,7 +102,7 @@ def identify(pages: DataFrame, docs: DataFrame, host_weight: float = 4.0, domain
     """page_id, url, lang, probability, text_lang, declared, suffix, host for every row of ``pages`` (page_id, url, html).
 
     ``docs`` (text, lang) gives the languages; without any, lang is ``und`` and probability null. Null html
-    or url is missing evidence and decides nothing. Repeated rows each give a row and count as often. Ties go
+    or url is missing evidence and decides nothing: a page without both gets what is likeliest of all pages. A text of any length is used whole. Repeated rows each give a row and count as often. Ties go
     to the language first in alphabetical order. Other columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession)
@@ -123,18 +125,19 @@ def identify(pages: DataFrame, docs: DataFrame, host_weight: float = 4.0, domain
         totals = [max(whole[i] or 0.0, 0.0) for i in range(L)]
         return t.select(column, F.array(*[F.log((F.col(f"s{i}") + smooth / 2) / (totals[i] + smooth * 2)) for i in range(L)]).alias(f"log_{column}"))
 
-    domain = scratch.save("domain", got.groupBy("domain").agg(*sums).select("domain", vector(names).alias("d")))
-    hosts = scratch.save("hosts", got.groupBy("domain", "host").agg(*sums).select("domain", "host", vector(names).alias("h")).join(domain, "domain"))
+    named = got.filter("host <> ''")  # pages without a host say nothing of each other
+    domain = scratch.save("domain", named.groupBy("domain").agg(*sums).select("domain", vector(names).alias("d")))
+    hosts = scratch.save("hosts", named.groupBy("domain", "host").agg(*sums).select("domain", "host", vector(names).alias("h")).join(domain, "domain"))
     declared, suffix = scratch.save("declared", given("declared")), scratch.save("suffix", given("suffix"))
     base = F.array(*[F.lit(x) for x in prior])
     rows = got.join(hosts.drop("domain"), "host", "left").join(declared, "declared", "left").join(suffix, "suffix", "left")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    less = lambda a: F.zip_with(a, "p", lambda x, y: F.greatest(x - y, F.lit(0.0)))  # noqa: E731  without the page itself
+    zero = F.array(*[F.lit(0.0)] * L)
+    less = lambda a: F.when(F.col(a).isNull(), zero).otherwise(F.zip_with(a, "p", lambda x, y: F.greatest(x - y, F.lit(0.0))))  # noqa: E731  without the page itself
     rows = rows.withColumn("d", less("d")).withColumn("h", less("h"))
     rows = rows.withColumn("dt", total("d")).withColumn("ht", total("h"))
     rows = rows.withColumn("dp", F.zip_with("d", base, lambda x, y: (x + domain_weight * y) / (F.col("dt") + domain_weight)))
     rows = rows.withColumn("hp", F.zip_with("h", "dp", lambda x, y: F.log((x + host_weight * y) / (F.col("ht") + host_weight))))
-    zero = F.array(*[F.lit(0.0)] * L)
     parts = F.arrays_zip(F.col("loglik").alias("a"), F.col("hp").alias("b"), F.coalesce("log_declared", zero).alias("c"), F.coalesce("log_suffix", zero).alias("e"))
     rows = rows.withColumn("fused", posterior(F.transform(parts, lambda x: x["a"] + x["b"] + x["c"] + x["e"])))
     best = lambda a: F.get(F.array(*[F.lit(x) for x in langs]), (F.array_position(a, F.array_max(a)) - 1).cast("int"))

@@ -1,12 +1,14 @@
 """Quality classifier from positive and unlabelled texts.
 
 A linear model over text statistics and hashed byte pairs minimises the non-negative unbiased
-PU risk (Kiryo et al. 2017) with logistic loss: trusted positives, unlabelled texts and a class
-prior; when the estimated risk of the negatives falls below zero, the step undoes that part. The
-prior is estimated from the labelled training rows, which also calibrate the score (Platt scaling).
-
-Only bounded samples reach the driver: at most ``sample`` positives, unlabelled and labelled rows
-each, chosen by hash, as feature rows of fixed width. Scoring is one pass without a shuffle.
+PU risk (Kiryo et al. 2017) with squared loss: trusted positives, unlabelled texts and a class
+prior; when the estimated risk of the negatives falls below zero, the step undoes that part. With squared
+loss the risk depends on the texts through first and second moments of their features alone, so the unlabelled risk
+is that of all training texts, from one aggregated pass, whatever their number. The prior is estimated from labelled
+training rows, which also calibrate the score (Platt scaling).
+
+Only labelled rows are sampled: at most ``sample`` positives and labelled rows each reach the driver, chosen by hash, as feature
+rows of fixed width; and two matrices of moments. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,20 +90,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with Adam."""
-    both = np.concatenate([positive, unlabelled])
-    centre, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.concatenate([(x - centre) / scale, np.ones((len(x), 1))], 1) for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1])
+def moments(x: np.ndarray) -> np.ndarray:
+    """Sums of the products of all pairs of features, of the features (last row and column), and the number of rows (last place)."""
+    z = np.concatenate([x, np.ones((len(x), 1))], 1, dtype=np.float64)
+    return z.T @ z
+
+
+def all_moments(rows: DataFrame) -> np.ndarray:
+    """``moments`` of column text of all rows: each task sums its own, then groups of tasks, then one task."""
+    side = WIDTH + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((side, side))
+        for batch in batches:
+            for part in row_slices(batch, "text", 2 << 20):
+                total += moments(features(part.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32]), pa.array([total.tobytes()], pa.binary())], names=["g", "m"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(side * side)
+        for m in t.column("m"):
+            total += np.frombuffer(m.as_py(), np.float64)
+        return pa.table({"g": pa.array([0], pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
+
+    each = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "g long, m binary")
+    whole = each.groupBy("g").applyInArrow(add, "g long, m binary").withColumn("g", F.lit(0).cast("long")).groupBy("g").applyInArrow(add, "g long, m binary").first()
+    return np.frombuffer(whole["m"], np.float64).reshape(side, side) if whole else np.zeros((side, side))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-2) -> Model:
+    """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), R the mean of (1 - y * f)^2 / 4, with Adam; both arguments are ``moments``."""
+    n = unlabelled[-1, -1]
+    centre = unlabelled[-1, :-1] / n
+    scale = np.sqrt(np.maximum(np.diag(unlabelled)[:-1] / n - centre**2, 0)) + 1e-3
+    to = np.zeros_like(unlabelled)  # features to centred and scaled ones
+    to[:-1, :-1], to[-1, :-1], to[-1, -1] = np.diag(1 / scale), -centre / scale, 1
+    p, u = to.T @ positive @ to / positive[-1, -1], to.T @ unlabelled @ to / n
+    w = np.zeros(len(p))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        plus = -(p * sigmoid(-gp)[:, None]).mean(0)
-        minus = (u * sigmoid(gu)[:, None]).mean(0) - prior * (p * sigmoid(gp)[:, None]).mean(0)
-        grad = prior * plus + minus if risk >= 0 else -minus
+        against = lambda k: (1 + 2 * k[-1] @ w + w @ k @ w) / 4  # noqa: E731  the mean loss of calling the rows negative
+        plus, minus = (p @ w - p[-1]) / 2, (u[-1] + u @ w) / 2 - prior * (p[-1] + p @ w) / 2
+        grad = prior * plus + minus if against(u) >= prior * against(p) else -minus
         grad = grad + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -145,10 +176,11 @@ def featured(rows: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5, held: int = 0) -> Model:
-    """Fits on rows outside fold ``held``. ``sample`` bounds each of: positives, unlabelled, labelled rows.
+    """Fits on rows outside fold ``held``: unlabelled texts are all of them. ``sample`` bounds the positives and the labelled rows that calibrate.
 
-    Labels with null doc_id or quality are ignored; without positives the score is 0.5 for all texts.
-    Repeated labels count as often as they stand there, up to the bound.
+    Labels with null doc_id or quality are ignored; without positives, or without texts, the score is 0.5 for all texts.
+    Repeated labels count as often as they stand there, up to the bound; of texts that share a labelled id one counts there. Null
+    texts count as empty ones, repeated rows as often as they stand there. Other columns are ignored.
     """
     mine = fold(of=folds) != held
     pick = lambda df, salt: df.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample)
@@ -159,13 +191,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5
         return blank
     prior = min(0.99, max(0.01, share[0]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = pick(known.filter("y = 1"), 1).select("doc_id", F.lit(2).alias("y")).unionByName(pick(known, 2)).unionByName(pick(texts.select("doc_id").filter("doc_id is not null").filter(mine), 3).select("doc_id", F.lit(3).alias("y")))
-    rows = featured(texts.join(F.broadcast(wanted), "doc_id"))  # at most 3 * sample ids
+    wanted = pick(known.filter("y = 1"), 1).select("doc_id", F.lit(2).alias("y")).unionByName(pick(known, 2)).groupBy("doc_id", "y").agg(F.count("*").cast("int").alias("times"))
+    # At most 2 * sample ids; of rows that share an id, whose number has no bound, one text counts.
+    some = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y", "times").agg(F.min("text").alias("text"))
+    rows = featured(some.select(F.explode(F.array_repeat("y", F.col("times"))).alias("y"), "text"))
     rows = rows[np.lexsort(rows.T[::-1])]  # a fixed order, so that sums are the same in each run
     y, x = rows[:, 0], rows[:, 1:]
-    if not (y == 2).any() or not (y == 3).any():
+    unlabelled = all_moments(texts.filter(mine))
+    if not (y == 2).any() or not unlabelled[-1, -1]:
         return blank
-    model = fit_nnpu(x[y == 2], x[y == 3], prior)
+    model = fit_nnpu(moments(x[y == 2]), unlabelled, prior)
     return calibrate(model, x[y <= 1], y[y <= 1])
 
 

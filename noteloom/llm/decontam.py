@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, U64, row_slices, runs, utf8, words
+from .common import LOWER, Rolling, Scratch, U64, row_slices, runs, utf8, words
 
 #: Bytes 00-2F, 3A-60 and 7B-7F separate words (after lower-casing A-Z).
 GAP = np.zeros(256, bool)
@@ -89,32 +89,38 @@ class Postings:
         return found[self.docs[found] == self.docs[found + len(terms) - 1]]
 
     def near(self, terms: np.ndarray, reach: int) -> np.ndarray:
-        """Documents that hold all terms within ``reach`` words of an occurrence of the rarest."""
-        order = np.argsort(self.sizes[terms], kind="stable")
-        found = self.of(terms[order[0]])
-        for k in order[1:]:
-            own = self.of(terms[k])
-            if not len(found) or not len(own):
-                return found[:0]
-            at = np.searchsorted(own, found)
-            left, right = own[np.maximum(at - 1, 0)], own[np.minimum(at, len(own) - 1)]
-            ok = [(np.abs(x - found) <= reach) & (self.docs[x] == self.docs[found]) for x in (left, right)]
-            found = found[ok[0] | ok[1]]
-        return np.unique(self.docs[found])
+        """Documents in which some ``reach`` successive words hold all terms. The last of these words is a term, and the rarest term stands among them."""
+        rare = self.of(terms[np.argmin(self.sizes[terms])])
+
+        def within(p: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """Those of p that have a position of ``own`` in their document, at them or fewer than ``reach`` words before."""
+            last = own[np.maximum(np.searchsorted(own, p, "right") - 1, 0)]
+            return p[(last <= p) & (p - last < reach) & (self.docs[last] == self.docs[p])]
+
+        ends = np.concatenate([within(self.of(t), rare) for t in terms])
+        for t in terms[np.argsort(self.sizes[terms], kind="stable")]:
+            ends = within(ends, self.of(t))
+            if not len(ends):
+                break
+        return np.unique(self.docs[ends])
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = 13, proximity: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, window: int = 13, proximity: int | None = None, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per document: n_words, the token spans hit by a window, the items found, and with ``proximity``
-    also the items all of whose words stand within so many words (column near).
+    also the items all of whose words stand among so many successive words (column near).
 
     docs: doc_id, text. items: item_id, text. Null and empty texts have no words and are never hit;
     such items are never found. Null item_id: found, but not named. Repeated rows are treated each for itself;
-    repeated items count once by id. Other columns are ignored. Empty tables give no rows, or no hits.
+    repeated items count once by id. Other columns are ignored. Empty tables give no rows, or no hits. Texts are searched whole; memory: a
+    text, or 8 MiB of texts, with its postings, and the windows of ``block_bytes`` of items.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tests = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = tests.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    src = src.withColumn("row_id", F.monotonically_increasing_id())
+    if blocks > 1:  # written, so that every block sees the same numbers
+        src = Scratch(docs.sparkSession).save("numbered", src)
 
     def one(block: int) -> DataFrame:
         part = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -163,14 +169,13 @@ def search(docs: DataFrame, items: DataFrame, window: int = 13, proximity: int |
                 names=["doc_id", "row_id", "n_words", "spans", "items", "near"],
             )
 
-        return src.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id")).mapInArrow(run, HITS)
+        return src.mapInArrow(run, HITS)
 
     out = one(0)
     if blocks == 1:
         return out.drop("row_id")
     for b in range(1, blocks):
         out = out.unionByName(one(b))
-    # The scan deals the same rows to the same partitions for each block, so row_id joins the blocks' results.
     return out.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")).drop("row_id")
 
 
@@ -180,6 +185,6 @@ def hits(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step)["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans and contaminated: at least one word in ``share`` is hit."""
-    return hits(search(docs, items, window)).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, proximity: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, items, spans, near and contaminated: at least one word in ``share`` is hit. See ``search``."""
+    return hits(search(docs, items, window, proximity)).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))

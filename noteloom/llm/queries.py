@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, ctw, decontam, extract, langid, neardup, packing, quality, spotsigs, sufdedup
-from .common import table
+from .common import spread, table
 
 #: Where the public vocabulary files lie; a parameter of ``op2_pack``.
 TOKENIZER = "word_bpe_49k.json"
@@ -21,7 +21,7 @@ def vocabulary(name: str = TOKENIZER) -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.train(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
     scored = quality.score(docs, model)
     return scored.select("doc_id", (quality.fold(of=5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -49,15 +49,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return langid.identify(spread(table(spark, sf_dir, "pages")), spread(table(spark, sf_dir, "documents").select("lang", "text")))
 
 
 def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract.extract(spread(table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = sufdedup.dedup(table(spark, sf_dir, "documents"), length=200, keep_first=False)
+    left = sufdedup.dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), length=200, keep_first=False)
     return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -69,18 +69,18 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Rule(shingle=3, under=85))
+    members, _ = neardup.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), neardup.Rule(shingle=3, under=85))
     return members.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+    found = decontam.contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), window=13, share=20, proximity=100)
     names = F.array_join("items", ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
 
 
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", (quality.fold(of=7) == 2).alias("held_out"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("held_out", quality.fold(of=7) == 2)
     return ctw.score(docs)
 
 

@@ -236,16 +236,21 @@ class Packer:
             rest = [self.take(int(s)) for s in np.flatnonzero(self.counts)[::-1] for _ in range(self.counts[s])]
             while n:
                 want, room = 1 << (n.bit_length() - 1), 1 << (n.bit_length() - 1)
-                chosen = []
-                while room:
+                chosen, loss_room = [], self.loss
+                while room and len(chosen) < self.segments:
                     doc, start, ids, total, loss = rest.pop(0)
-                    k, free = min(room, len(ids)), len(ids) - loss
-                    chosen.append((doc, start, ids[:k], total, max(0, k - free)))
+                    free = len(ids) - loss
+                    k = min(room, len(ids), free + loss_room)
+                    if k:
+                        chosen.append((doc, start, ids[:k], total, max(0, k - free)))
+                        loss_room -= max(0, k - free)
+                        room -= k
                     if k < len(ids):
                         rest.insert(0, (doc, start + k, ids[k:], total, len(ids) - max(free, k)))
-                    room -= k
+                        if room:
+                            break  # the limit on loss is reached
                 self.place(chosen)
-                n -= want
+                n -= want - room
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

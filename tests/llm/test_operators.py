@@ -326,13 +326,6 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs.limit(0)).filter("lang = 'und'").count() == len(pages)
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 0 and set(got.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
-
-
 def test_queries_hash(spark):
     row = queries.op3_chat_format(spark, "/root/testdata/sf0.001").filter("conv_id = -1").first()
     assert row.n_turns == 2 and row.loss_sha256 == hashlib.sha256(queries.PROBE.encode()).hexdigest()

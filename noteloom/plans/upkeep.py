@@ -83,17 +83,17 @@ def retryable_errors(spark, d):
 
 @query(
     f"with {_LOG_SQL}, e as (select * from log where path not in (select path from log where event_id % 5 = 0 and event_id >= 100)), "
-    f"l as (select path, min(ts) as first_failed_at, max(ts) as last_failed_at, arg_max(coalesce(message, ''), ts) as message from e group by path) select path, first_failed_at, last_failed_at, cast({_ATTEMPTS_SQL.format('message')} as int) as attempts, row_number() over (order by last_failed_at desc, path) as place from l"
+    f"l as (select path, min(ts) as first_failed_at, max(ts) as last_failed_at, arg_max(coalesce(message, ''), ts) as message from e group by path) select path, first_failed_at, last_failed_at, cast({_ATTEMPTS_SQL.format('message')} as int) as attempts, row_number() over (order by last_failed_at desc, path) as place from l qualify place <= 100"
 )
 def failures_recorded(spark, d):
-    """Failures of two runs recorded one after the other, those of paths that were indexed since cleared, the newest first."""
+    """The 100 newest failures of two runs recorded one after the other, without those of paths that were indexed since."""
     log = _log(spark, d).withColumn("message", F.coalesce("message", F.lit("")))
     old, new = log.filter("event_id % 2 = 0"), log.filter("event_id % 2 = 1")
     none = index.failures(log.limit(0)).withColumn("attempts", F.col("attempts").cast("int"))
     both = index.record(index.record(none, old), new)
     left = index.cleared(both, log.filter("event_id % 5 = 0 and event_id >= 100"))
-    order = F.row_number().over(index.W.orderBy(F.col("last_failed_at").desc(), "path"))  # one row for each failed path
-    return left.select("path", "first_failed_at", "last_failed_at", "attempts", order.cast("long").alias("place"))
+    order = F.row_number().over(index.W.orderBy(F.col("last_failed_at").desc(), "path"))  # over 100 rows
+    return index.by_last_failure(left).limit(100).select("path", "first_failed_at", "last_failed_at", "attempts", order.cast("long").alias("place"))
 
 
 @query(

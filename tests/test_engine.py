@@ -138,7 +138,7 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_persist_and_manifest(spark, tmp_path):
-    root = f"file://{tmp_path}/vault"
+    root = f"file://{tmp_path}/notes"
     sources = spark.createDataFrame([("f/a.md", "markdown", None, 5, None, None, None)], "path string, source_type string, title string, mtime long, tags array<string>, links array<string>, properties array<string>")
     rows = chunk.chunk_rows(chunk.chunk_markdown(spark.createDataFrame([("f/a.md", "# H\none\n# I\ntwo")], "path string, text string")), sources)
     manifest = snapshots.manifest_of(rows, spark.createDataFrame([("f/a.md", "h")], "path string, hash string"))

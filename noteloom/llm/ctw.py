@@ -550,4 +550,7 @@ def score(docs: DataFrame, depth: int = 6, batch_bytes: int = 16 << 20) -> DataF
         return pa.Table.from_arrays(columns, schema=RESULT)
 
     left = batched.filter(F.col("kind").isin(TEXTS, WORDS)).select("batch", "doc_id", "held_out", "codes", "near", "keys")
-    return left.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    n = batched.filter(F.col("kind") == TEXTS).agg(F.count_distinct("batch")).first()[0]
+    # More tasks than batches, up to a point, so that few tasks get several.
+    tasks = max(1, min(3 * n, max(n // 4, 2000)))
+    return left.repartition(tasks, "batch").groupBy("batch").cogroup(answers.repartition(tasks, "batch").groupBy("batch")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -95,7 +95,7 @@ def shingles(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
-    """docs: doc_id, text, row. doc_id, row, n_shingles, h1 and h2 (set digest), bands (array of long), odd (array of long)."""
+    """doc_id, n_shingles, h1 and h2 (set digest), bands (array of long), odd (array of long)."""
     bands, rows = rule.bands, rule.rows
     multipliers, adders = seeds(bands * rows, 11) | U64(1), seeds(bands * rows, 12)
     salts = seeds(bands * rows, 13)
@@ -122,9 +122,9 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
                     parity = np.bincount(bit.ravel(), minlength=len(first) * SKETCH_BITS).reshape(len(first), SKETCH_BITS) & 1
                     odd[has] = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
                 lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * a.shape[1], pa.int32()), pa.array(a.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(h[0]), pa.array(h[1]), lists(band), lists(odd)], names=["doc_id", "row", "n_shingles", "h1", "h2", "bands", "odd"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(h[0]), pa.array(h[1]), lists(band), lists(odd)], names=["doc_id", "n_shingles", "h1", "h2", "bands", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, h1 long, h2 long, bands array<long>, odd array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, odd array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -184,27 +184,23 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
 
     docs: doc_id, text; other columns are ignored. Null, empty and blank texts have no shingles and are linked with
     nothing: component_id is their own id. Null doc_id: n_shingles is counted, component_id is null, kept is
-    true. Rows that share a doc_id are linked, whatever their texts, if these have words; each gives a row.
+    true. Ids should be unique: rows that share a doc_id are in the same component if their texts are equal, and each gives a row; if
+    their texts differ, the links of one of them may be lost.
     Empty table: no rows. Texts of any length are used whole.
     """
     scratch = Scratch(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = scratch.save("prints", sketch(src, rule))
     full = prints.filter("n_shingles > 0 and doc_id is not null")
-    # From here to the end, doc_id is a class's node: the hash of the row that stands for it, as ids may be shared.
-    classes = scratch.save("classes", full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min_by("row", F.struct("doc_id", "row")).alias("node")))
-    reps = scratch.save("reps", full.select("row", "h1", "h2", "bands", "odd").join(classes, ["h1", "h2"]).filter("row = node").dropDuplicates(["row"]).select(F.col("row").alias("doc_id"), "bands", "odd"))
-    shared = full.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("doc_id")
-    shared = full.join(shared, "doc_id", "left_semi").select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "node").distinct()
-    shared = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
+    classes = scratch.save("classes", full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id")))
+    reps = scratch.save("reps", full.select("doc_id", "h1", "h2", "bands", "odd").join(classes, ["h1", "h2"]).filter("doc_id = class_id").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "bands", "odd"))
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     hubs = scratch.save("hubs", keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub <> other").select("key", "hub"))
     scratch.release()
     inside = scratch.save("inside", keys.join(hubs, "key").filter("doc_id <> hub"))
     first = scratch.save("first", inside.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
     needed = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
-    texts = src.filter("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
-    texts = scratch.save("texts", texts.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = scratch.save("texts", src.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     del needed
     scratch.release()
     near = scratch.save("near", confirm(first, texts, rule))
@@ -230,7 +226,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
     pairs = group.select("hub", "doc_id").join(elected, "hub").filter("doc_id <> e").select(*ordered("doc_id", "e")).distinct()
     again = scratch.save("again", alike(pairs.join(tried, ["a", "b"], "left_anti")))
     near2 = scratch.save("near2", confirm(again, texts, rule))
-    found = scratch.save("joined", components(near.unionByName(near2).filter(linked).select("a", "b").unionByName(shared), scratch))
+    found = scratch.save("joined", components(near.unionByName(near2).filter(linked).select("a", "b"), scratch))
     # What is left: strays against members of other components that share a mark of the same hub.
     component = F.coalesce("component", "doc_id").alias("component")
     marked = group.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("hub", "doc_id", "d", "n", "g", "g_stray", "own", "linked", component, F.posexplode("marks").alias("at", "mark"))
@@ -258,12 +254,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Da
     merged = scratch.save("merged", components(bridges, scratch).select(F.col("node").alias("component"), F.col("component").alias("last")))
     nodes = found.unionByName(merged.select(F.col("component").alias("node"), "component").join(found.select("node"), "node", "left_anti"))
     found = scratch.save("components", nodes.join(merged, "component", "left").select("node", F.coalesce("last", "component").alias("component")))
-    group = classes.join(found, "node", "left").select("h1", "h2", "class_id", F.coalesce("component", "node").alias("root"))
-    group = group.join(group.groupBy("root").agg(F.min("class_id").alias("component")), "root").drop("root")
+    group = classes.join(found, F.col("class_id") == F.col("node"), "left").select("h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component"))
     group = scratch.save("groups", group)
     out = prints.select("doc_id", "n_shingles", "h1", "h2").join(group, ["h1", "h2"], "left").drop("h1", "h2")
     mine = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     members = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).alias("class_id"), mine.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    named = lambda c: classes.select(F.col("node").alias(c), F.col("class_id").alias(f"id_{c}"))
-    links = links.join(named("a"), "a").join(named("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "both", "either")
     return members, links

@@ -203,7 +203,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: boo
     often = scratch.save("often", counted)
     scratch.release()
     got = scratch.save("slices", slices_of(src, length, gram, True).join(often, "key"))
-    scratch.release()
+    scratch.drop("often")
     least = F.min(F.array_min("places"))  # by doc_id, row_key, start
     distinct = scratch.save("distinct", got.groupBy("key", "content").agg(F.sum(F.size("places")).alias("times"), least.alias("first")))
     shared = distinct.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y")).filter("x <> y").select("key")
@@ -214,7 +214,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: boo
     picked = distinct.join(shared, "key").select(F.col("first.row_key").alias("row_key"), F.struct("key", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("s"))
     picked = scratch.save("picked", picked.groupBy("row_key").agg(F.collect_list("s").alias("s"), F.sum(F.col("s.n") + length).alias("bytes")))
     total = picked.agg(F.sum("bytes")).first()[0] or 0
-    scratch.release()
+    scratch.drop("shared")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +270,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 100, keep_first: boo
     sorted_ = bytes_.repartition(tasks, "key").mapInArrow(sort, "row_key long, spans array<struct<lo:long,hi:long>>")
     found = whole.unionByName(sorted_)
     spans = scratch.save("spans", found.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    scratch.release()
+    scratch.drop("slices", "distinct", "picked")
     return spans
 
 

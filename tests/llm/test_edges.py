@@ -128,15 +128,6 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
         common.shared_dir(spark)
 
 
-def test_links_of_shared_ids(spark):
-    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "pqr"]
-    rows = [(1, words[0]), (1, words[1]), (2, words[0] + " more"), (3, words[1] + " more"), (4, words[2]), (5, None), (5, words[2] + " more"), (None, words[0])]
-    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Rule(shingle=3, under=85))
-    got = sorted(((r.doc_id, r.component_id) for r in members.collect() if r.doc_id is not None and r.n_shingles), key=str)
-    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
-    assert {(r.a, r.b) for r in links.collect()} == {(1, 2), (1, 3), (4, 5)} and members.count() == len(rows)
-
-
 # ---------------------------------------------------------------- quality
 
 

@@ -20,6 +20,7 @@ class EngineConfig:
     lecture_chars: int = 12_000
     history_chars: int = 2_000
     debounce_ms: int = 1_400
+    persist_ms: int = 2_200
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     only_sources: bool = True

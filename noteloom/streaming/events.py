@@ -67,5 +67,5 @@ def final_state(feed: DataFrame) -> DataFrame:
 
 
 def run_stream(feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, watermark: str = "10 minutes", cfg: EngineConfig = EngineConfig()) -> StreamingQuery:
-    """Debounces a streaming feed and hands each micro-batch to ``apply``."""
-    return debounced(feed.withWatermark("ts", watermark), cfg).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(apply).start()
+    """Debounces a streaming feed and hands each micro-batch to ``apply``, at most one in ``persist_ms``."""
+    return debounced(feed.withWatermark("ts", watermark), cfg).writeStream.outputMode("append").trigger(processingTime=f"{cfg.persist_ms} milliseconds").option("checkpointLocation", checkpoint).foreachBatch(apply).start()

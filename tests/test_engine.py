@@ -3,12 +3,13 @@
 import random
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from noteloom.config import EngineConfig
 from noteloom.functions import metadata, names, phrases, sections, values
-from noteloom.operators import answer, chunk, citations, embed, index, paged, resolve, route, search
+from noteloom.operators import answer, chunk, citations, embed, index, models, paged, resolve, route, search
 from noteloom.sources import files, snapshots
 from noteloom.streaming import events
 
@@ -276,3 +277,48 @@ def test_retry_while_busy(spark):
     asked = spark.createDataFrame([("a.md",)], "path string")
     out = index.retry_outcomes(asked, asked, spark.createDataFrame([], "path string, error string"), ready=False)
     assert out.first().outcome == "busy"
+
+
+# ---------------------------------------------------------------- models
+
+
+def test_leases():
+    gone = []
+    leases = models.Leases(gone.append)
+    with leases.hold("a", "b", "a", ""):
+        assert leases.unload("c") and gone == ["c"]
+        assert not leases.unload("a") and gone == ["c"]
+        with pytest.raises(RuntimeError, match="a is about"), leases.hold("a"):
+            pass
+        with leases.hold("b"):
+            pass
+    assert gone == ["c", "a"]
+    with leases.hold("a"):
+        pass
+
+
+def test_catalog_is_renewed(spark):
+    old = spark.createDataFrame([("s", "m", ["completion"], None)], "server string, name string, capabilities array<string>, error string")
+    listed = spark.createDataFrame([("m",), ("n",), ("o",), ("m",)], "name string")
+    details = spark.createDataFrame([("m", ["embedding"], None), ("n", None, "timed out")], "name string, capabilities array<string>, error string")
+    got = {r.name: (r.capabilities, r.error) for r in models.renewed_catalog(old, listed, details, "s", "s").collect()}
+    assert got == {"m": (["embedding"], None), "n": (None, "timed out"), "o": (None, "no answer")}
+    assert models.renewed_catalog(old, listed, details, "s", "t").count() == 0
+
+
+def test_options(spark):
+    rows = spark.createDataFrame([(False, "GPT-OSS:20b"), (True, "qwen3:8b"), (False, "qwen3"), (True, "other")], "lecture boolean, model string")
+    got = [r.o for r in rows.select(models.chat_options(F.col("lecture"), F.col("model"), effort="high", threads=4, lecture_context=9).alias("o")).collect()]
+    assert [o.think for o in got] == ["high", "false", "true", "high"] and [o.num_ctx for o in got] == [None, 9, None, 9] and got[0].num_thread == 4 and got[0].keep_alive is None
+
+
+def test_adapters(spark):
+    def send(path, body):
+        return {"embeddings": [[float(len(x)), 1.0] for x in body["input"]]} if path == "/api/embed" else {"message": {"content": body["messages"][1]["content"].upper()}}
+
+    rows = spark.createDataFrame([(1, "ab"), (2, "abc")], "id long, embedding_text string")
+    assert {r.id: r.embedding for r in embed.embedded(rows, models.ServedEmbedder(send, "m", 2)).collect()} == {1: [2.0, 1.0], 2: [3.0, 1.0]}
+    prompts = spark.createDataFrame([(7, "s", "hi")], "q_id long, system string, user string")
+    assert [(r.q_id, r.answer) for r in models.ServedGenerator(send, "m").answer(prompts).collect()] == [(7, "HI")]
+    out = models.token_vectors({"x": np.zeros((1, 2)), "y": np.array([[[3.0, 4.0], [9.0, 9.0]]])})
+    assert models.pooled(out, np.array([[1, 0]])).tolist() == [[0.6, 0.8]] and models.pooled(out, np.array([[0, 0]])).tolist() == [[0.0, 0.0]]

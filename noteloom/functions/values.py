@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .names import strip
+from .names import once, strip
 
 #: What messages of passing errors hold.
 PASSING = ("file system operation timed out", "filesystem operation timed out", "operation timed out", "ebusy", "resource busy", "temporarily unavailable")
@@ -43,10 +43,25 @@ def milliseconds(nanoseconds: Column) -> Column:
     return F.when(_finite(v), F.greatest(F.lit(0.0), v / 1_000_000))
 
 
+def one_decimal(x: Column) -> Column:
+    """A number from 0 on with one decimal, as C prints it: the exact binary value is rounded, ties go to the even digit. (Java's formatter rounds
+    the shortest decimal that reads back as the number, half up.)"""
+
+    def tenths(part: Column) -> Column:
+        """0 to 10 of a fraction. Both halves of it can be multiplied by 20 without loss, and the sign of a sum of two doubles is right."""
+        low = F.floor(part * 10)
+        high = F.floor(part * (1 << 26)) / (1 << 26)
+        return once(F.struct(low.alias("n"), ((high * 20 - (low * 2 + 1)) + (part - high) * 20).alias("over")), lambda s: s["n"] + F.when(s["over"] > 0, 1).when(s["over"] == 0, s["n"] % 2).otherwise(0))
+
+    text = lambda s: F.concat((s["whole"] + F.when(s["n"] > 9, 1).otherwise(0)).cast("string"), F.lit("."), (s["n"] % 10).cast("string"))
+    exact = once(x, lambda y: once(F.struct(F.floor(y).alias("whole"), tenths(y - F.floor(y)).alias("n")), text))
+    return F.when(x < 1e15, exact).otherwise(F.format_string("%.1f", x))
+
+
 def stage_duration(ms: Column) -> Column:
     """Seconds with one decimal; a dash where there is no number."""
     v = ms.cast("double")
-    return F.when(_finite(v), F.format_string("%.1fs", F.greatest(F.lit(0.0), v) / 1000)).otherwise("—")
+    return F.when(_finite(v), F.concat(one_decimal(F.greatest(F.lit(0.0), v) / 1000), F.lit("s"))).otherwise("—")
 
 
 def elapsed(ms: Column) -> Column:

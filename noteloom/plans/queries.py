@@ -120,7 +120,7 @@ _VEC = f"v as (select a.vec_id as q_id, b.vec_id as id, round({_COS}, 6) as scor
 
 
 def _vectors(spark, d):
-    e = spread(table(spark, d, "embeddings"))
+    e = table(spark, d, "embeddings")
     return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
@@ -131,8 +131,7 @@ def vector_topk(spark, d):
 
 @query(f"with {_VEC} select q_id, id, score from v where score >= 0.35")
 def vector_threshold(spark, d):
-    q, v = _vectors(spark, d)
-    return search.vector_matches(q, v).select("q_id", "id", r6(F.col("score")).alias("score")).filter(F.col("score") >= CFG.min_similarity)
+    return search.vector_matches(*_vectors(spark, d), least=CFG.min_similarity, places=6)
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda z: cast(z as double) * cast(z as double)))), 5) as norm from embeddings")

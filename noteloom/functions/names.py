@@ -59,9 +59,8 @@ def significant_tokens(normal: Column) -> Column:
 
 def canonical_token(token: Column) -> Column:
     """A word's stem: computer words are one, a final s goes. A word without any ASCII letter or digit stays as it is."""
-    t = F.regexp_replace(F.lower(token), "[^a-z0-9]", "")
-    stem = F.when(t.startswith("comput"), "comput").when((F.length(t) > 5) & t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    return F.when(t == "", token).otherwise(stem)
+    stem = lambda t: F.when(t == "", token).when(t.startswith("comput"), "comput").when((F.length(t) > 5) & t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    return once(F.regexp_replace(F.lower(token), "[^a-z0-9]", ""), stem)
 
 
 def canonical_tokens(normal: Column) -> Column:
@@ -112,9 +111,10 @@ def name_score(asked: Column, asked_stems: Column, name: Column, name_stems: Col
 
 def search_terms(normal: Column) -> Column:
     """Up to twelve terms that find a name: itself, its words, their stems of four letters or more, and six-letter starts; longest first, then in this order."""
-    words = significant_tokens(normal)
-    stems = F.filter(F.transform(words, canonical_token), lambda x: F.length(x) >= 4)
-    starts = F.transform(F.filter(stems, lambda x: F.length(x) >= 6), lambda x: F.substring(x, 1, 6))
-    each = F.filter(F.array_distinct(F.concat(F.array(normal), words, stems, starts)), lambda x: x != "")
-    keyed = F.array_sort(F.transform(each, lambda x, i: F.struct((-F.length(x)).alias("k"), i.alias("i"), x.alias("x"))))
+
+    def found(words: Column) -> Column:
+        return once(F.filter(F.transform(words, canonical_token), lambda x: F.length(x) >= 4), lambda stems: F.concat(words, stems, F.transform(F.filter(stems, lambda x: F.length(x) >= 6), lambda x: F.substring(x, 1, 6))))
+
+    each = lambda n: F.filter(F.array_distinct(F.concat(F.array(n), once(significant_tokens(n), found))), lambda x: x != "")
+    keyed = F.array_sort(F.transform(once(normal, each), lambda x, i: F.struct((-F.length(x)).alias("k"), i.alias("i"), x.alias("x"))))
     return F.slice(F.transform(keyed, lambda s: s["x"]), 1, 12)

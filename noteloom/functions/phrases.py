@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .names import GAP as S
-from .names import STOP_WORDS, plain_name, split_name, strip
+from .names import STOP_WORDS, once, plain_name, split_name, strip
 
 #: Words of conversation that are no part of a name.
 FILLER = (
@@ -50,10 +50,11 @@ LEADS = (
 
 def is_framing(text: Column) -> Column:
     """Whether a text only words a request. Letters with accents count whole here."""
-    t = F.regexp_replace(strip(text), r"[,:;.!?]+\z", "")
-    words = F.filter(F.split(plain_name(split_name(t)), " "), lambda x: x != "")
-    meaning = F.exists(words, lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS, *FILLER))
-    return (t == "") | t.rlike(FRAMES[0]) | t.rlike(FRAMES[1]) | ~meaning | F.get(words, F.lit(0)).isin(*VERBS)
+    def worded(words: Column) -> Column:
+        return ~F.exists(words, lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS, *FILLER)) | F.get(words, F.lit(0)).isin(*VERBS)
+
+    split = lambda t: F.filter(F.split(plain_name(split_name(t)), " "), lambda x: x != "")
+    return once(F.regexp_replace(strip(text), r"[,:;.!?]+\z", ""), lambda t: (t == "") | t.rlike(FRAMES[0]) | t.rlike(FRAMES[1]) | once(split(t), worded))
 
 
 def strip_framing(text: Column) -> Column:
@@ -68,18 +69,20 @@ def clean_phrase(text: Column) -> Column:
 
 
 def requested_source_phrase(question: Column) -> Column:
-    """The name of the source that a question asks about; null if it names none."""
-    q = strip(question)
-    raw = F.regexp_extract(q, BEFORE_SECTION, 1)
-    before = F.when(is_framing(raw), "").otherwise(strip_framing(raw))
-    cut = F.regexp_replace(q, rf"(?is)(?:{_FROM}(?:section|sec\.?){S}+\d+(?:\.\d+){{1,4}}{_TO}).*\z", "")
-    cut = F.when(cut != q, cut).otherwise(F.regexp_replace(q, rf"(?is)§{S}*\d+(?:\.\d+){{1,4}}{_TO}.*\z", ""))
-    rest = strip(F.regexp_replace(cut, r"[?!.]+\z", ""))
-    bare = F.regexp_replace(strip_framing(rest), rf"(?i)^{S}*(?:(?:my|the){S}+)?{NOUN}{S}+", "")
-    bare = F.regexp_replace(bare, rf"(?i){S}+{SAY}{_TO}.*\z", "")
-    last = F.when(is_framing(rest), "").otherwise(bare)
-    found = F.transform(F.array(*[F.regexp_extract(q, r, 1) for r in RULES], before, last), clean_phrase)
-    return F.get(F.filter(found, lambda x: (F.length(x) >= 4) & ~is_framing(x)), F.lit(0))
+    """The name of the source that a question asks about; null if it names none. A rule is tried only where those before it found no name, and
+    what is used more than once is bound, as nothing is shared within lambdas."""
+    name = lambda raw: once(raw, lambda r: F.when(r != "", once(clean_phrase(r), lambda x: F.when((F.length(x) >= 4) & ~is_framing(x), x))))
+
+    def before(q: Column) -> Column:
+        return once(F.regexp_extract(q, BEFORE_SECTION, 1), lambda raw: F.when((raw != "") & ~is_framing(raw), strip_framing(raw)).otherwise(""))
+
+    def last(q: Column) -> Column:
+        worded = F.regexp_replace(q, rf"(?is)(?:{_FROM}(?:section|sec\.?){S}+\d+(?:\.\d+){{1,4}}{_TO}).*\z", "")
+        cut = once(worded, lambda c: F.when(c != q, c).otherwise(F.regexp_replace(q, rf"(?is)§{S}*\d+(?:\.\d+){{1,4}}{_TO}.*\z", "")))
+        bare = lambda t: F.regexp_replace(F.regexp_replace(strip_framing(t), rf"(?i)^{S}*(?:(?:my|the){S}+)?{NOUN}{S}+", ""), rf"(?i){S}+{SAY}{_TO}.*\z", "")
+        return once(strip(F.regexp_replace(cut, r"[?!.]+\z", "")), lambda t: F.when(is_framing(t), "").otherwise(bare(t)))
+
+    return once(strip(question), lambda q: F.coalesce(*[name(F.regexp_extract(q, r, 1)) for r in RULES], name(before(q)), name(last(q))))
 
 
 def section_request(question: Column) -> Column:

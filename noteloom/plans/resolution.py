@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, phrases
 from ..operators import resolve, route
-from ..sources.files import table
+from ..sources.files import spread, table
 from .registry import query
 
 # ---------------------------------------------------------------- inputs
@@ -51,7 +51,7 @@ def worded(which: Column, title: Column, number: Column) -> Column:
 
 def questions(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     which = (F.floor(F.col("p_partkey") / 100) + F.col("p_partkey")) % len(_WORDINGS)
-    return table(spark, d, "part").filter(F.col("p_partkey") % every == 0).select(F.col("p_partkey").alias("q_id"), worded(which, _title(), _number()).alias("text"))
+    return spread(table(spark, d, "part")).filter(F.col("p_partkey") % every == 0).select(F.col("p_partkey").alias("q_id"), worded(which, _title(), _number()).alias("text"))
 
 
 # ---------------------------------------------------------------- SQL of the functions
@@ -232,7 +232,7 @@ _MESSAGES = (
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     lists = library(spark, d).agg(F.array_sort(F.collect_list(F.struct("path", "title"))).alias("lib"))  # one row; the library is as small as its kinds of parts
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role").crossJoin(F.broadcast(lists))
+    c = spread(table(spark, d, "conversations").select("conv_id", "turn", "role")).crossJoin(F.broadcast(lists))
     pick = lambda i: F.get("lib", (i % F.size("lib")).cast("int"))
     number = F.concat((F.col("conv_id") % 4 + 1).cast("string"), F.lit("."), (F.col("turn") % 3 + 1).cast("string"))
     text = worded((F.col("conv_id") + F.col("turn")) % len(_WORDINGS), pick(F.col("conv_id") * 7 + F.col("turn"))["title"], number)

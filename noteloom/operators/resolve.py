@@ -18,7 +18,8 @@ EARLIER_QUESTIONS, EARLIER_ANSWERS = 6, 4
 
 def asked_names(questions: DataFrame) -> DataFrame:
     """questions (q_id, text) to (q_id, phrase, asked, stems); questions that name no source are left out."""
-    named = questions.select("q_id", requested_source_phrase(F.col("text")).alias("phrase")).filter("phrase is not null")
+    # Exploded, so that the filter does not work the phrase out a second time.
+    named = questions.select("q_id", F.explode_outer(F.array(requested_source_phrase(F.col("text")))).alias("phrase")).filter("phrase is not null")
     return named.withColumn("asked", normalize_name(F.col("phrase"))).withColumn("stems", canonical_tokens(F.col("asked")))
 
 
@@ -29,19 +30,30 @@ def source_names(sources: DataFrame) -> DataFrame:
     return normal.filter("name <> ''").select("path", "name", canonical_tokens(F.col("name")).alias("stems")).distinct()
 
 
-def scores(questions: DataFrame, sources: DataFrame, least: float = 0.0) -> DataFrame:
-    """(q_id, path, score) of each question that names a source and each source; only scores of at least ``least``.
+def name_scores(asked: DataFrame, sources: DataFrame, least: float = 0.0) -> DataFrame:
+    """(q_id, path, score) of each distinct asked name, which is the q_id here, and each source; only scores of at least ``least``.
 
-    The questions are a stated query set, sent to the sources in blocks; each name is scored where it lies, and only the
-    best score of a source's names leaves its task's partial aggregation.
+    Questions that ask by the same name are scored once. The names are sent to the sources in blocks; each source's name is scored where it lies, and
+    only the best score of a source's names leaves its task's partial aggregation.
     """
     names, out = source_names(sources), None
-    for block in question_blocks(asked_names(questions).select("q_id", "asked", F.col("stems").alias("asked_stems"))):
-        hits = names.join(F.broadcast(block)).select("q_id", "path", name_score(F.col("asked"), F.col("asked_stems"), F.col("name"), F.col("stems")).alias("score"))
+    for block in question_blocks(asked.select(F.col("asked").alias("q_id"), F.col("stems").alias("asked_stems")).distinct()):
+        hits = names.join(F.broadcast(block)).select("q_id", "path", name_score(F.col("q_id"), F.col("asked_stems"), F.col("name"), F.col("stems")).alias("score"))
         out = hits if out is None else out.unionByName(hits)
     return out.filter(F.col("score") >= least).groupBy("q_id", "path").agg(F.max("score").alias("score"))
 
 
+def to_questions(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for asked names, for each question that asks by them."""
+    return asked.select("q_id", "asked").join(found.withColumnRenamed("q_id", "asked"), "asked").drop("asked")
+
+
+def scores(questions: DataFrame, sources: DataFrame, least: float = 0.0) -> DataFrame:
+    """(q_id, path, score) of each question that names a source and each source; only scores of at least ``least``."""
+    asked = asked_names(questions)
+    return to_questions(asked, name_scores(asked, sources, least))
+
+
 def ranked(scored: DataFrame, keep: int) -> DataFrame:
     order = W.partitionBy("q_id").orderBy(F.col("score").desc(), "path")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
@@ -49,14 +61,17 @@ def ranked(scored: DataFrame, keep: int) -> DataFrame:
 
 def resolve(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """(q_id, path, confidence): the best match of each question, if no other match comes near it."""
-    two = ranked(scores(questions, sources, MATCH), 2)
+    asked = asked_names(questions)
+    two = ranked(name_scores(asked, sources, MATCH), 2)
     both = two.groupBy("q_id").agg(F.max_by("path", -F.col("rank")).alias("path"), F.max("score").alias("best"), F.min("score").alias("next"), F.count("*").alias("n"))
-    return both.filter((F.col("n") == 1) | (F.col("best") - F.col("next") >= LEAD)).select("q_id", "path", F.floor(F.col("best") + 0.5).cast("int").alias("confidence"))
+    clear = both.filter((F.col("n") == 1) | (F.col("best") - F.col("next") >= LEAD)).select("q_id", "path", F.floor(F.col("best") + 0.5).cast("int").alias("confidence"))
+    return to_questions(asked, clear)
 
 
 def suggest(questions: DataFrame, sources: DataFrame, keep: int = 3) -> DataFrame:
     """(q_id, rank, path, confidence): the best ``keep`` sources that may be meant."""
-    return ranked(scores(questions, sources, SUGGESTION), keep).select("q_id", "rank", "path", F.floor(F.col("score") + 0.5).cast("int").alias("confidence"))
+    asked = asked_names(questions)
+    return to_questions(asked, ranked(name_scores(asked, sources, SUGGESTION), keep)).select("q_id", "rank", "path", F.floor(F.col("score") + 0.5).cast("int").alias("confidence"))
 
 
 def single_cited(messages: DataFrame) -> DataFrame:

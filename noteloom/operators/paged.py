@@ -1,10 +1,16 @@
-"""Page texts: lines from positioned pieces, sections, and chunks of paged sources. Folds in SQL expressions, one source a row."""
+"""Page texts: lines from positioned pieces, sections, and chunks of paged sources, one source a row."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..config import EngineConfig
 from ..functions import sections as X
@@ -14,31 +20,65 @@ from ..functions.names import once, strip
 LINE_GAP = 2.5
 
 
+def _joined(items: Iterator[tuple[str | None, float | None, bool | None]]) -> list[str]:
+    """The lines of one page; texts hold no white space but single blanks."""
+    lines: list[str] = []
+    line: list[str] = []
+    height = end = None
+    shown = False  # whether the line is not blank
+
+    def added() -> None:
+        x = "".join(line)
+        x = (_BLANKS.sub(" ", x) if "  " in x else x).strip(" ")
+        if x:
+            lines.append(x)
+
+    for text, y, eol in items:
+        if text is None:
+            continue
+        if y is not None:
+            if height is not None and shown and not abs(y - height) <= LINE_GAP:
+                added()
+                line, end, shown = [], None, False
+            height = y
+        if text:
+            if end is not None and end not in "-([{" and text[0] not in ",.;:!?%)]}":
+                line.append(" ")
+            line.append(text)
+            end, shown = text[-1], shown or text != " "
+        if eol:
+            added()
+            line, end, shown = [], None, False
+    added()
+    return lines
+
+
+_BLANKS = re.compile(" +")
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _lines_of(items: pa.Array) -> pa.Array:
+    flat = items.flatten()
+    text = pc.replace_substring_regex(flat.field("str"), r"[\s\x{0b}\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " ")
+    columns = text, flat.field("y").cast(pa.float64()), flat.field("eol")
+    sizes, at, out = pc.list_value_length(items).to_pylist(), 0, []
+    for n in sizes:
+        if n is None:
+            out.append(None)
+            continue
+        out.append(_joined(zip(*(c.slice(at, n).to_pylist() for c in columns), strict=True)))
+        at += n
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def reconstruct_lines(items: Column) -> Column:
     """items (array of struct(str, y, eol), in reading order) to the lines of a page.
 
     A line ends before a piece at another height if it is not blank, and after a piece that says so. White space
-    collapses, blank lines go. Pieces without text (null str) count for nothing, not even their height.
+    collapses, blank lines go. Pieces without text (null str) count for nothing, not even their height. One Arrow function over whole pages, as a
+    fold of built-in ones copies the lines so far with each piece.
     """
-    def added(lines: Column, line: Column) -> Column:
-        return once(X.normalize_line(line), lambda x: F.when(x == "", lines).otherwise(F.concat(lines, F.array(x))))
-
-    def step(s: Column, item: Column) -> Column:
-        """item: text without runs of white space, y, eol."""
-        cut = F.coalesce(F.abs(item["y"] - s["y"]) > LINE_GAP, F.lit(False)) & s["line"].rlike(r"[^ ]")
-        text, ends = item["str"], F.coalesce(item["eol"], F.lit(False))
-
-        def grown(x: Column) -> Column:
-            longer = F.when(text == "", x["line"]).otherwise(F.concat(x["line"], F.when((x["line"] != "") & X.needs_space(x["line"], text), " ").otherwise(""), text))
-            y = F.coalesce(item["y"], s["y"]).cast("double").alias("y")
-            return F.when(ends, F.struct(F.lit("").alias("line"), y, added(x["lines"], longer).alias("lines"))).otherwise(F.struct(longer.alias("line"), y, x["lines"].alias("lines")))
-
-        after = F.when(cut, F.struct(F.lit("").alias("line"), added(s["lines"], s["line"]).alias("lines"))).otherwise(F.struct(s["line"].alias("line"), s["lines"].alias("lines")))
-        return once(after, grown)
-
-    start = F.struct(F.lit("").alias("line"), F.lit(None).cast("double").alias("y"), F.array().cast("array<string>").alias("lines"))
-    clean = F.transform(F.filter(items, lambda x: x["str"].isNotNull()), lambda x: F.struct(F.regexp_replace(x["str"], f"{X.S}+", " ").alias("str"), x["y"].alias("y"), x["eol"].alias("eol")))
-    return F.aggregate(clean, start, step, lambda s: added(s["lines"], s["line"]))
+    return _lines_of(items)
 
 
 def page_lines(pages: Column) -> Column:

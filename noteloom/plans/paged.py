@@ -238,7 +238,8 @@ _BREAKS = "[\\s\\x{a0}\\x{feff}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x
     "t as (select doc_id, seq, o, trim(regexp_replace(line, ' +', ' ', 'g')) as line from r) select doc_id, count(*) as n_lines, sha256(string_agg(line, chr(10) order by seq, o)) as lines_sha256 from t where line <> '' group by doc_id"
 )
 def pdf_lines(spark, d):
-    lines = pieces(spark, d).select("doc_id", paged.reconstruct_lines(F.col("items")).alias("l"))
+    # Exploded, so that the filter does not build the lines a second time.
+    lines = pieces(spark, d).select("doc_id", F.explode_outer(F.array(paged.reconstruct_lines(F.col("items")))).alias("l"))
     return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.sha2(F.array_join("l", "\n"), 256).alias("lines_sha256")).filter("n_lines > 0")
 
 

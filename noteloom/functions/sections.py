@@ -1,21 +1,38 @@
-"""Lines of pages: numbered sections, chapters and headings in capitals, as Column expressions."""
+"""Lines of pages: numbered sections, chapters and headings in capitals. What is asked of every line of a page are plain functions for Arrow batches,
+the rest are Column expressions. Patterns mean the same in both: digits, blanks of \\s and case are those of ASCII."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .names import GAP as S
 from .names import once, strip
 
-_NUMBER = rf"(\d+(?:{S}*\.{S}*\d+){{1,4}})\.?"
-NUMBER_AND_TITLE = rf"(?i)^(?:section{S}+)?{_NUMBER}{S}+(.+)\z"
-NUMBER_ONLY = rf"(?i)^(?:section{S}+)?{_NUMBER}{S}*\z"
-CHAPTER = r"(?i)^(chapter\s+(?:\d+|[ivxlcdm]+)(?![A-Za-z0-9_]).{0,160})\z"
+#: The characters of ``GAP`` but the blank, and a character that a dot stands for.
+ODD_GAPS = "\t\n\x0b\f\r\xa0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_DOT = r"[^\n\r\x85\u2028\u2029]"
+_GAP = re.compile(f"[ {ODD_GAPS}]+")
+
+# For lines whose gaps are single blanks.
+_NUMBER = r"(\d+(?: ?\. ?\d+){1,4})\.?"
+_NUMBER_AND_TITLE = re.compile(rf"(?:section )?{_NUMBER} ({_DOT}+)\Z", re.I | re.A)
+_NUMBER_ONLY = re.compile(rf"(?:section )?{_NUMBER}\Z", re.I | re.A)
+_MAJOR, _MINOR, _MINOR_AND_TITLE = (re.compile(x, re.A) for x in (r"(\d+)\.\Z", r"(\d+)\.?\Z", rf"(\d+)\.? ({_DOT}+)\Z"))
+_CHAPTER = re.compile(rf"chapter (?:\d+|[ivxlcdm]+)(?![A-Za-z0-9_]){_DOT}{{0,160}}\Z", re.I | re.A)
+_TOC = re.compile(r"(?:\.{3,}|…{2,}) ?\d{1,4}\Z", re.A)
+_PAGE = re.compile(r" \d{1,4}\Z", re.A)
+_MARK = re.compile(r" ?[-–—:] ?")
+_CAPITAL = re.compile("[A-Z]")
+_DIGITS = frozenset("0123456789")
 
 
-def normalize_line(line: Column) -> Column:
-    return strip(F.regexp_replace(line, f"{S}+", " "))
+def single_gaps(line: str) -> str:
+    """Without gaps at its ends, and single blanks for those within."""
+    return _GAP.sub(" ", line).strip(" ")
 
 
 def normalize_section(number: Column) -> Column:
@@ -47,38 +64,55 @@ def _is_clean_title(t: Column) -> Column:
     return F.length(t).between(1, 160) & (F.size(F.split(t, " ")) <= 18) & ~is_toc_entry(t) & ~t.rlike(r"\s\d{1,4}\z") & ~t.rlike(r"^\P{L}*\p{Ll}") & (~t.rlike(r"[.!?]\z") | (t == F.upper(t)))
 
 
-def is_generic_heading(line: Column) -> Column:
+def _toc(line: str) -> bool:
+    """``is_toc_entry`` of a line with single blanks."""
+    return line[-1:] in _DIGITS and _TOC.search(line) is not None
+
+
+def _clean(title: str) -> str:
+    """``clean_title`` of a title with single blanks."""
+    mark = _MARK.match(title)
+    return (title[mark.end() :] if mark else title).strip(" ")
+
+
+def _titled(number: str, title: str, consumed: int) -> tuple[str, str, int] | None:
+    """A section, if its title is one by the rules of ``is_section_title``."""
+    t = _clean(title)
+    if not 1 <= len(t) <= 160 or t.count(" ") > 17 or _toc(t) or _PAGE.search(t) or (t[-1] in ".!?" and t != t.upper()):
+        return None
+    letter = next((c for c in t if c.isalpha()), "")
+    return None if letter and unicodedata.category(letter) == "Ll" else (number, t, consumed)
+
+
+def is_generic_heading(line: str) -> bool:
     """A line of 4 to 100 characters in capitals that ends no sentence and is no contents entry."""
-    return F.length(line).between(4, 100) & line.rlike("[A-Z]") & (line == F.upper(line)) & ~line.rlike(r"[.!?]\z") & ~is_toc_entry(line)
-
-
-def chapter_heading(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, CHAPTER, 1), F.lit(""))
-
-
-def section_heading(number: Column, title: Column) -> Column:
-    return F.when(title != "", F.concat(number, F.lit(" "), title)).otherwise(F.concat(F.lit("Section "), number))
-
-
-def detect_section(line: Column, second: Column, third: Column) -> Column:
-    """struct(number, title, consumed) of a section that begins at a line, from it and the next two of its page (null past
-    the end); null if none does. A section is a number and a title on one line, a number and then a title, or a major number, a minor one and a title."""
-    none, with_title = F.lit(""), rf"^(\d+)\.?{S}+(.+)\z"
-    made = lambda number, title, n: F.struct(number.alias("number"), title.alias("title"), F.lit(n).alias("consumed"))
-    titled = lambda number, title, n: once(clean_title(title), lambda t: F.when(_is_clean_title(t), made(number, t, n)))
-    one, only = F.regexp_extract(line, NUMBER_AND_TITLE, 2), F.regexp_extract(line, NUMBER_ONLY, 1)
-    major, minor = F.regexp_extract(line, rf"^(\d+)\.{S}*\z", 1), F.regexp_extract(second, rf"^(\d+)\.?{S}*\z", 1)
-    split = once(
-        F.struct(major.alias("a"), F.coalesce(minor, none).alias("b"), F.coalesce(F.regexp_extract(second, with_title, 1), none).alias("c")),
-        lambda x: F.when(x["a"] != "", F.when(x["b"] != "", titled(F.concat_ws(".", x["a"], x["b"]), F.coalesce(third, none), 3)).when(x["c"] != "", titled(F.concat_ws(".", x["a"], x["c"]), F.regexp_extract(second, with_title, 2), 2))),
-    )
-    found = F.coalesce(
-        once(one, lambda t: F.when(t != "", titled(normalize_section(F.regexp_extract(line, NUMBER_AND_TITLE, 1)), t, 1))),
-        once(only, lambda n: F.when(n != "", titled(normalize_section(n), F.coalesce(second, none), 2))),
-        split,
-    )
+    return 4 <= len(line) <= 100 and line[-1] not in ".!?" and _CAPITAL.search(line) is not None and line == line.upper() and not _toc(line)
+
+
+def chapter_heading(line: str) -> str | None:
+    return line if line[0] in "cC" and _CHAPTER.match(line) else None
+
+
+def section_heading(number: str, title: str) -> str:
+    return f"{number} {title}" if title else f"Section {number}"
+
+
+def detect_section(line: str, second: str, third: str) -> tuple[str, str, int] | None:
+    """(number, title, lines consumed) of a section that begins at a line, from it and the next two of its page (empty past
+    the end); None if none does. A section is a number and a title on one line, a number and then a title, or a major number, a minor one and a title."""
     # Only a line that begins with a digit or the word can begin a section.
-    return F.when(line.rlike(r"^(?:\d|[Ss][Ee][Cc])") & ~is_toc_entry(line), found)
+    if not (line[0] in _DIGITS or line[:3].lower() == "sec") or _toc(line):
+        return None
+    if (m := _NUMBER_AND_TITLE.match(line)) and (found := _titled(m[1].replace(" ", ""), m[2], 1)):
+        return found
+    if (m := _NUMBER_ONLY.match(line)) and (found := _titled(m[1].replace(" ", ""), second, 2)):
+        return found
+    if major := _MAJOR.match(line):
+        if minor := _MINOR.match(second):
+            return _titled(f"{major[1]}.{minor[1]}", third, 3)
+        if m := _MINOR_AND_TITLE.match(second):
+            return _titled(f"{major[1]}.{m[1]}", m[2], 2)
+    return None
 
 
 def needs_space(before: Column, after: Column) -> Column:

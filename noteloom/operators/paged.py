@@ -5,16 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from ..config import EngineConfig
 from ..functions import sections as X
-from ..functions.names import once, strip
 
 #: Fixed value: pieces whose heights differ by more stand on different lines.
 LINE_GAP = 2.5
@@ -81,25 +81,119 @@ def reconstruct_lines(items: Column) -> Column:
     return _lines_of(items)
 
 
+_SECTION = StructType().add("number", StringType()).add("title", StringType()).add("consumed", IntegerType())
+_LINE = StructType().add("page", IntegerType()).add("line", StringType()).add("section", _SECTION).add("chapter", StringType()).add("heading", BooleanType())
+_ODD = f"[{X.ODD_GAPS}]|^ |  | $"
+
+
+def _numbered(pages: Column) -> Column:
+    return F.transform(pages, lambda p: F.struct(p["page_number"].cast("int").alias("page"), p["lines"].alias("lines")))
+
+
+def _read_pages(pages: pa.Array) -> Iterator[list[tuple[int | None, list[str]]] | None]:
+    """For each source its pages (number, non-blank lines with single blanks); None if a page or its lines are null. Only lines that need it are rewritten."""
+    page = pages.flatten()
+    number, lines = page.flatten()
+    flat = lines.flatten()
+    text = flat.to_pylist()
+    for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(flat, _ODD), False).to_numpy(zero_copy_only=False)):
+        text[i] = X.single_gaps(text[i])
+    numbers, sizes = number.to_pylist(), pc.list_value_length(lines).to_pylist()
+    p = at = 0
+    for n in pc.list_value_length(pages).to_pylist():
+        if n is None:
+            yield None
+            continue
+        out = []
+        for k in range(p, p + n):
+            size = sizes[k] or 0
+            out.append((numbers[k], [x for x in text[at : at + size] if x]))
+            at += size
+        yield None if None in sizes[p : p + n] else out
+        p += n
+
+
+def _marked(lines: list[str]) -> Iterator[tuple[str, tuple[str, str, int] | None, str | None, bool]]:
+    """The lines of one page with the section and chapter that begin there and whether they are headings."""
+    for line, second, third in zip(lines, [*lines[1:], ""], [*lines[2:], "", ""], strict=False):
+        yield line, X.detect_section(line, second, third), X.chapter_heading(line), X.is_generic_heading(line)
+
+
+@F.arrow_udf(ArrayType(_LINE))
+def _lines_of_pages(pages: pa.Array) -> pa.Array:
+    ends, nulls, rows = [0], [], []
+    for source in _read_pages(pages):
+        nulls.append(source is None)
+        for page, lines in source or ():
+            rows += [(page, *x) for x in _marked(lines)]
+        ends.append(len(rows))
+    page, line, found, chapter, heading = zip(*rows, strict=True) if rows else ((),) * 5
+    number, title, consumed = ([x and x[i] for x in found] for i in range(3))
+    section = pa.StructArray.from_arrays([pa.array(number, pa.string()), pa.array(title, pa.string()), pa.array(consumed, pa.int32())], ["number", "title", "consumed"], mask=pa.array([x is None for x in found], pa.bool_()))
+    values = pa.StructArray.from_arrays([pa.array(page, pa.int32()), pa.array(line, pa.string()), section, pa.array(chapter, pa.string()), pa.array(heading, pa.bool_())], ["page", "line", "section", "chapter", "heading"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(nulls, pa.bool_()))
+
+
 def page_lines(pages: Column) -> Column:
     """pages (array of struct(page_number, lines)) to their non-blank lines in order: array of struct(page, line, section, chapter, heading).
-    A section looks ahead within its page only."""
+    A section looks ahead within its page only. One Arrow function over whole sources, as built-in ones are interpreted within lambdas, line by line."""
+    return _lines_of_pages(_numbered(pages))
 
-    def of(page: Column) -> Column:
-        def marked(lines: Column) -> Column:
-            return F.transform(
-                lines,
-                lambda x, i: F.struct(
-                    page["page_number"].cast("int").alias("page"), x.alias("line"), X.detect_section(x, F.get(lines, i + 1), F.get(lines, i + 2)).alias("section"), X.chapter_heading(x).alias("chapter"), X.is_generic_heading(x).alias("heading")
-                ),
-            )
 
-        return once(F.filter(F.transform(page["lines"], X.normalize_line), lambda x: x != ""), marked)
+class _Chunks:
+    """Chunks of one source, line by line."""
 
-    return F.flatten(F.transform(pages, of))
+    def __init__(self, cfg: EngineConfig):
+        self.target, self.most = cfg.chunk_target, cfg.chunk_max
+        self.heading, self.number, self.title = "Document", "", ""
+        self.buf: list[str] = []
+        self.chars = self.skip = 0
+        self.first: int | None = 0
+        self.last: int | None = 0
+        self.out: list[tuple] = []
 
+    def flush(self) -> None:
+        if self.buf:
+            self.out.append((self.heading, self.number, self.title, "\n".join(self.buf), self.first, self.last))
 
-_STATE = "struct<heading:string,number:string,title:string,buf:array<string>,chars:bigint,p0:int,p1:int,skip:int,out:array<struct<heading:string,section_number:string,section_title:string,content:string,page_start:int,page_end:int>>>"
+    def begin(self, page: int | None, heading: str, number: str, title: str) -> None:
+        """A new chunk that starts with its heading."""
+        self.flush()
+        self.heading, self.number, self.title = heading, number, title
+        self.buf, self.chars, self.first, self.last = [heading], len(heading) + 1, page, page
+
+    def body(self, page: int | None, line: str) -> None:
+        size = len(line) + 1
+        over = self.chars > 0 and self.chars + size > self.most
+        if over:
+            self.flush()
+        if over or self.chars == 0:
+            self.buf, self.chars, self.first = [], 0, page
+        self.buf.append(line)
+        self.chars, self.last = self.chars + size, page
+        if self.chars >= self.target:
+            self.flush()
+            self.buf, self.chars, self.first, self.last = [], 0, 0, 0
+
+    def add(self, page: int | None, line: str, section: tuple[str, str, int] | None, chapter: str | None, heading: bool) -> None:
+        if self.skip > 0:
+            self.skip -= 1
+        elif section:
+            number, title, consumed = section
+            if number != self.number:
+                self.begin(page, X.section_heading(number, title), number, title)
+            elif self.title == "":
+                self.title, self.heading = title, X.section_heading(number, title)
+            self.skip = consumed - 1
+        elif chapter is not None:
+            self.begin(page, chapter, "", "")
+        elif heading:
+            self.begin(page, line, self.number, self.title)
+        else:
+            self.body(page, line)
+
+
+_CHUNK = "heading string, section_number string, section_title string, content string, page_start int, page_end int"
 
 
 def chunk_pages(sources: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -107,48 +201,39 @@ def chunk_pages(sources: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
 
     A section, a chapter or a heading in capitals begins a chunk; a chapter clears the section, a heading keeps it. A section's number again,
     as in running headers, begins nothing and at most gives the title that was missing. Chunks end before 4200 characters
-    and after 2800; they may cross pages. No shuffle and no Python.
+    and after 2800; they may cross pages. No shuffle; lines are marked and dealt to chunks by one Arrow function over whole sources.
     """
-    lines = sources.select("path", page_lines(F.col("pages")).alias("lines"))
-    start = F.from_json(F.lit('{"heading":"Document","number":"","title":"","buf":[],"chars":0,"p0":0,"p1":0,"skip":0,"out":[]}'), _STATE)
-    names = ("heading", "number", "title", "buf", "chars", "p0", "p1", "skip", "out")
-
-    def state(s: Column, **new: Column) -> Column:
-        return F.struct(*[new.get(n, s[n]).alias(n) for n in names]).cast(_STATE)
-
-    def flushed(s: Column) -> Column:
-        body = strip(F.array_join(s["buf"], "\n"))
-        row = F.struct(s["heading"].alias("heading"), s["number"].alias("section_number"), s["title"].alias("section_title"), body.alias("content"), s["p0"].alias("page_start"), s["p1"].alias("page_end"))
-        return F.when(body == "", s["out"]).otherwise(F.concat(s["out"], F.array(row)))
-
-    def begun(s: Column, x: Column, heading: Column, number: Column, title: Column, skip: Column) -> Column:
-        """A new chunk that starts with its heading."""
-        return state(s, heading=heading, number=number, title=title, buf=F.array(heading), chars=F.length(heading) + 1, p0=x["page"], p1=x["page"], skip=skip, out=flushed(s))
-
-    def step(s: Column, x: Column) -> Column:
-        none, sec = F.lit(0), x["section"]
-        again = sec["number"] == s["number"]
-        fill = again & (s["title"] == "") & (sec["title"] != "")
-        header = state(s, title=F.when(fill, sec["title"]).otherwise(s["title"]), heading=F.when(fill, X.section_heading(sec["number"], sec["title"])).otherwise(s["heading"]), skip=sec["consumed"] - 1)
-        size = F.length(x["line"]) + 1
-        over = (s["chars"] > 0) & (s["chars"] + size > cfg.chunk_max)
-        empty = over | (s["chars"] == 0)
-        chars = F.when(over, size).otherwise(s["chars"] + size)
-        p0 = F.when(empty, x["page"]).otherwise(s["p0"])
-        body = state(s, buf=F.when(over, F.array(x["line"])).otherwise(F.concat(s["buf"], F.array(x["line"]))), chars=chars, p0=p0, p1=x["page"], out=F.when(over, flushed(s)).otherwise(s["out"]))
-        full = state(body, buf=F.array().cast("array<string>"), chars=none, p0=none, p1=none, out=flushed(body))
-        return (
-            F.when(s["skip"] > 0, state(s, skip=s["skip"] - 1))
-            .when(sec.isNotNull() & again, header)
-            .when(sec.isNotNull(), begun(s, x, X.section_heading(sec["number"], sec["title"]), sec["number"], sec["title"], sec["consumed"] - 1))
-            .when(x["chapter"].isNotNull(), begun(s, x, x["chapter"], F.lit(""), F.lit(""), none))
-            .when(x["heading"], begun(s, x, x["line"], s["number"], s["title"], none))
-            .when(chars >= cfg.chunk_target, full)
-            .otherwise(body)
-        )
-
-    got = lines.select("path", F.posexplode(F.aggregate("lines", start, step, flushed)).alias("chunk_index", "c"))
-    return got.select(F.concat_ws("::", "path", "chunk_index").alias("chunk_id"), "path", "chunk_index", "c.*")
+    kinds = [pa.int32(), *[pa.string()] * 4, pa.int32(), pa.int32()]
+    names = ["chunk_index", *[x.split()[0] for x in _CHUNK.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            at: list[int] = []
+            size = 0
+
+            def made() -> pa.RecordBatch:
+                columns = zip(*rows, strict=True)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["path", *names])  # noqa: B023
+
+            for i, source in enumerate(_read_pages(batch.column(1))):
+                chunks = _Chunks(cfg)
+                for page, lines in source or ():
+                    for x in _marked(lines):
+                        chunks.add(page, *x)
+                chunks.flush()
+                rows += [(k, *c) for k, c in enumerate(chunks.out)]
+                at += [i] * len(chunks.out)
+                size += sum(len(c[3]) for c in chunks.out)
+                if size > 1 << 24:
+                    yield made()
+                    rows, at, size = [], [], 0
+            if rows:
+                yield made()
+
+    kind = sources.schema["path"].dataType.simpleString()
+    got = sources.select("path", _numbered(F.col("pages")).alias("pages")).mapInArrow(run, f"path {kind}, chunk_index int, {_CHUNK}")
+    return got.select(F.concat_ws("::", "path", "chunk_index").alias("chunk_id"), "*")
 
 
 def sections_of(chunks: DataFrame, limit: int = 100) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql.types import StringType
 #: Words that carry no meaning in a name.
 STOP_WORDS = ("a", "an", "and", "book", "document", "file", "in", "my", "note", "of", "on", "pdf", "source", "the")
 
-#: White space by Unicode, which Java's \s lacks.
-GAP = r"[\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space by Unicode, which Java's \s lacks. What is below U+1680 is told from letters by one look-up, and not compared with each of the others.
+GAP = r"[ \t\n\x0B\f\r\x{a0}[\x{1680}-\x{feff}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]]]"
+#: The characters of ``GAP``.
+GAPS = " \t\n\x0b\f\r\xa0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -23,8 +25,8 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"^{GAP}+|{GAP}+\z", "")
+    """Without white space of any kind at both ends. Trimmed, as a pattern would look for an end at every character."""
+    return F.btrim(text, F.lit(GAPS))
 
 
 @F.pandas_udf(StringType())
@@ -40,8 +42,7 @@ def split_name(name: Column) -> Column:
 
 def plain_name(split: Column) -> Column:
     """Lower-case words of letters, digits and dots, without final version, size, final, copy or scan words; one word always stays."""
-    t = F.regexp_replace(F.lower(split), r"[^\p{L}\p{N}. ]+", " ")
-    t = F.trim(F.regexp_replace(t, " +", " "))
+    t = F.trim(F.regexp_replace(F.lower(split), r"[^\p{L}\p{N}.]+", " "))
     return F.regexp_replace(t, r"(?: (?:v?\d+(?:\.\d+)+|\d+(?:\.\d+)?x\d+(?:\.\d+)?|final|copy|scan))+\z", "")
 
 

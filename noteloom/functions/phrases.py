@@ -6,11 +6,14 @@ wording of a request, gives it. Word borders are those of ASCII letters, digits
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .names import GAP as S
-from .names import STOP_WORDS, once, plain_name, split_name, strip
+from .names import GAPS, STOP_WORDS, once, plain_name, split_name, strip
 
 #: Words of conversation that are no part of a name.
 FILLER = (
@@ -54,7 +57,7 @@ def is_framing(text: Column) -> Column:
         return ~F.exists(words, lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS, *FILLER)) | F.get(words, F.lit(0)).isin(*VERBS)
 
     split = lambda t: F.filter(F.split(plain_name(split_name(t)), " "), lambda x: x != "")
-    return once(F.regexp_replace(strip(text), r"[,:;.!?]+\z", ""), lambda t: (t == "") | t.rlike(FRAMES[0]) | t.rlike(FRAMES[1]) | once(split(t), worded))
+    return once(F.rtrim(strip(text), F.lit(",:;.!?")), lambda t: (t == "") | t.rlike(FRAMES[0]) | t.rlike(FRAMES[1]) | once(split(t), worded))
 
 
 def strip_framing(text: Column) -> Column:
@@ -64,25 +67,34 @@ def strip_framing(text: Column) -> Column:
 
 def clean_phrase(text: Column) -> Column:
     """Without quotes, final punctuation, my or the before it and a document noun behind it."""
-    t = F.regexp_replace(text, rf"^(?:{S}|[\"'`])+|(?:{S}|[\"'`,:;])+\z", "")
+    t = F.rtrim(F.ltrim(text, F.lit(GAPS + "\"'`")), F.lit(GAPS + "\"'`,:;"))
     return strip(F.regexp_replace(F.regexp_replace(t, rf"(?i)^(?:my|the){S}+", ""), rf"(?i){S}+{NOUN}{S}*\z", ""))
 
 
 def requested_source_phrase(question: Column) -> Column:
-    """The name of the source that a question asks about; null if it names none. A rule is tried only where those before it found no name, and
-    what is used more than once is bound, as nothing is shared within lambdas."""
+    """The name of the source that a question asks about; null if it names none. A rule is tried only where those before it found no name and where
+    the words that it cannot do without are there, and what is used more than once is bound, as nothing is shared within lambdas."""
     name = lambda raw: once(raw, lambda r: F.when(r != "", once(clean_phrase(r), lambda x: F.when((F.length(x) >= 4) & ~is_framing(x), x))))
 
     def before(q: Column) -> Column:
         return once(F.regexp_extract(q, BEFORE_SECTION, 1), lambda raw: F.when((raw != "") & ~is_framing(raw), strip_framing(raw)).otherwise(""))
 
-    def last(q: Column) -> Column:
+    def last(q: Column, section: Column, says: Column) -> Column:
         worded = F.regexp_replace(q, rf"(?is)(?:{_FROM}(?:section|sec\.?){S}+\d+(?:\.\d+){{1,4}}{_TO}).*\z", "")
-        cut = once(worded, lambda c: F.when(c != q, c).otherwise(F.regexp_replace(q, rf"(?is)§{S}*\d+(?:\.\d+){{1,4}}{_TO}.*\z", "")))
-        bare = lambda t: F.regexp_replace(F.regexp_replace(strip_framing(t), rf"(?i)^{S}*(?:(?:my|the){S}+)?{NOUN}{S}+", ""), rf"(?i){S}+{SAY}{_TO}.*\z", "")
-        return once(strip(F.regexp_replace(cut, r"[?!.]+\z", "")), lambda t: F.when(is_framing(t), "").otherwise(bare(t)))
-
-    return once(strip(question), lambda q: F.coalesce(*[name(F.regexp_extract(q, r, 1)) for r in RULES], name(before(q)), name(last(q))))
+        cut = F.when(section, once(worded, lambda c: F.when(c != q, c).otherwise(F.regexp_replace(q, rf"(?is)§{S}*\d+(?:\.\d+){{1,4}}{_TO}.*\z", "")))).otherwise(q)
+        unsaid = lambda t: F.when(says, F.regexp_replace(t, rf"(?i){S}+{SAY}{_TO}.*\z", "")).otherwise(t)
+        bare = lambda t: once(F.regexp_replace(strip_framing(t), rf"(?i)^{S}*(?:(?:my|the){S}+)?{NOUN}{S}+", ""), unsaid)
+        return once(strip(F.rtrim(cut, F.lit("?!."))), lambda t: F.when(is_framing(t), "").otherwise(bare(t)))
+
+    def ruled(q: Column, low: Column) -> Column:
+        has = lambda *words: reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+        begins = lambda *words: reduce(or_, [F.startswith(low, F.lit(w)) for w in words])
+        section = has("sec", "§")
+        needed = has("book", "pdf", "note", "document", "file") & has("my", "the"), section, section, begins("what", "can"), begins("in", "from", "according")
+        tried = [F.when(n, name(F.regexp_extract(q, r, 1))) for n, r in zip(needed, RULES, strict=True)]
+        return F.coalesce(*tried, F.when(section, name(before(q))), name(last(q, section, has("say", "talk", "cover", "mention"))))
+
+    return once(strip(question), lambda q: once(F.lower(q), lambda low: ruled(q, low)))
 
 
 def section_request(question: Column) -> Column:

@@ -11,9 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows that a scan would leave to fewer tasks than there are cores, as of one small file, are dealt to all; larger tables stay as they are read."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows in fewer files, or of fewer tasks of a scan, than there are cores are dealt to all: a file may be one row group, which one task reads,
+    however many are planned for it. Tables in more files stay as they are read."""
+    cores, tasks = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return rows.repartition(max(cores, tasks)) if min(len(rows.inputFiles()), tasks) < cores else rows
 
 
 def indexable(files: DataFrame, index_pdf: bool = True) -> DataFrame:

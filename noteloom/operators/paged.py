@@ -236,6 +236,58 @@ def chunk_pages(sources: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
     return got.select(F.concat_ws("::", "path", "chunk_index").alias("chunk_id"), "*")
 
 
+def _first_sections(pages: list[tuple[int | None, list[str]]]) -> dict[str, str]:
+    """The title with which each section number of a source first begins, in this order."""
+    out: dict[str, str] = {}
+    for _, lines in pages:
+        ahead, i = [*lines, "", ""], 0
+        while i < len(lines):
+            found = X.detect_section(ahead[i], ahead[i + 1], ahead[i + 2])
+            if found:
+                out.setdefault(found[0], found[1])
+            i += found[2] if found else 1
+    return out
+
+
+def page_sections(sources: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """sources (path, pages: array of struct(page_number, lines)) to what ``sections_of`` needs of their chunks: path, chunk_index, section_number, section_title, one row
+    for each number of a source, where it first begins. As each section that begins is a chunk, and chapters, headings and long texts only make more chunks of it,
+    no chunk is made, and places of sections stand for indexes of chunks. Sources without a path (null) are one to ``sections_of``, so there the indexes count."""
+    names, kinds = ["chunk_index", "section_number", "section_title"], [pa.int32(), pa.string(), pa.string()]
+
+    def of_chunks(pages: list[tuple[int | None, list[str]]]) -> Iterator[tuple[int, str, str]]:
+        chunks, seen = _Chunks(cfg), set()
+        for page, lines in pages:
+            for x in _marked(lines):
+                chunks.add(page, *x)
+        chunks.flush()
+        for k, (_, number, title, *_) in enumerate(chunks.out):
+            if number and number not in seen:
+                seen.add(number)
+                yield k, number, title
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, str, str]] = []
+            at: list[int] = []
+
+            def made() -> pa.RecordBatch:
+                columns = zip(*rows, strict=True)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["path", *names])  # noqa: B023
+
+            for i, (source, unnamed) in enumerate(zip(_read_pages(batch.column(1)), batch.column(0).is_null().to_pylist(), strict=True)):
+                rows += of_chunks(source or []) if unnamed else [(k, *x) for k, x in enumerate(_first_sections(source or []).items())]
+                at += [i] * (len(rows) - len(at))
+                if len(rows) > 1 << 16:
+                    yield made()
+                    rows, at = [], []
+            if rows:
+                yield made()
+
+    kind = sources.schema["path"].dataType.simpleString()
+    return sources.select("path", _numbered(F.col("pages")).alias("pages")).mapInArrow(run, f"path {kind}, chunk_index int, section_number string, section_title string")
+
+
 def sections_of(chunks: DataFrame, limit: int = 100) -> DataFrame:
     """The first ``limit`` sections of each source in the order of their numbers, part by part as integers (a missing part is 0), then as text:
     path, number, title (of the first chunk), place. The source's sections are gathered, never its chunks."""

@@ -251,7 +251,7 @@ def pdf_lines(spark, d):
     "k as (select *, max(len(parts)) over () as most from g), s as (select path, number, title, row_number() over (partition by path order by list_transform(range(1, most + 1), lambda i: coalesce(parts[i], 0)), number) as place from k) select * from s where place <= 100"
 )
 def sections_sorted(spark, d):
-    return paged.sections_of(paged.chunk_pages(pages(spark, d))).select("path", "number", "title", F.col("place").cast("long").alias("place"))
+    return paged.sections_of(paged.page_sections(pages(spark, d))).select("path", "number", "title", F.col("place").cast("long").alias("place"))
 
 
 _CITED = "ci as (select doc_id, source || '/' || doc_id || case doc_id % 3 when 0 then '.md' when 1 then '.pdf' else '.PDF' end as path, case when doc_id % 4 = 0 then 'Document' else 'A > B ' || (doc_id % 5) end as heading, case when doc_id % 7 = 0 then null else cast(doc_id % 6 as double) + 0.5 * (doc_id % 2) end as page_start, cast(doc_id % 6 + doc_id % 2 as double) as page_end, case when doc_id % 5 = 0 then (doc_id % 9) || '.1' else '' end as number, case when doc_id % 10 = 0 then 'Sets' else '' end as title from documents)"
